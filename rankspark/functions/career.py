@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def month_index(c: Column) -> Column:
-    """``YYYY-MM`` or ``YYYY-MM-DD`` as months since year 0; null when not a month."""
-    year = F.regexp_extract(c, r"^\s*(\d{4})-(\d{1,2})", 1)
-    month = F.regexp_extract(c, r"^\s*(\d{4})-(\d{1,2})", 2)
-    y = F.nullif(year, F.lit("")).try_cast("int")
-    m = F.nullif(month, F.lit("")).try_cast("int")
-    return F.when(m.between(1, 12), y * 12 + m - 1)
+    """``YYYY-MM`` or ``YYYY-MM-DD`` as months since year 0; null when not a month.
+
+    The pattern admits months 1 to 12 only, so one match per value is enough.
+    """
+    t = F.regexp_extract(c, r"^\s*(\d{4}-(?:0[1-9]|1[0-2]|[1-9](?!\d)))", 1)
+    return F.substring(t, 1, 4).try_cast("int") * 12 + F.substring(t, 6, 2).try_cast("int") - 1
 
 
 def known(c: Column) -> Column:
@@ -29,9 +29,9 @@ def role_months(duration: Column) -> Column:
     return whole(known(duration))
 
 
-def role_end(start: Column, end_date: Column, duration: Column) -> Column:
-    """Month index of the end; a role that goes on ends after its duration."""
-    return F.coalesce(month_index(end_date), start + F.coalesce(role_months(duration), F.lit(0)))
+def role_end(start: Column, end: Column, months: Column) -> Column:
+    """Month index of the end of a dated role; one that goes on ends after its months."""
+    return F.when(start.isNotNull(), F.coalesce(end, start + F.coalesce(months, F.lit(0))))
 
 
 def years_of_experience(stated: Column, tenure_months: Column) -> Column:
@@ -63,17 +63,16 @@ def mean_tenure_years_in(history: Column) -> Column:
 
 
 def span_in(history: Column) -> Column:
-    spans = F.filter(
-        F.transform(
-            history,
-            lambda h: F.struct(
-                month_index(h["start_date"]).alias("start"),
-                role_end(month_index(h["start_date"]), h["end_date"], h["duration_months"]).alias("end"),
-            ),
+    dated = F.transform(
+        history,
+        lambda h: F.struct(
+            month_index(h["start_date"]).alias("start"),
+            month_index(h["end_date"]).alias("end"),
+            role_months(h["duration_months"]).alias("months"),
         ),
-        lambda s: s["start"].isNotNull(),
     )
-    return F.array_max(F.transform(spans, lambda s: s["end"])) - F.array_min(F.transform(spans, lambda s: s["start"]))
+    last = F.array_max(F.transform(dated, lambda d: role_end(d["start"], d["end"], d["months"])))
+    return last - F.array_min(F.transform(dated, lambda d: d["start"]))
 
 
 def companies_in(history: Column) -> Column:

@@ -11,9 +11,10 @@ def stable_hash(c: Column) -> Column:
     return F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def stable_pick(c: Column, n: int, draw: int = 0) -> Column:
+def stable_pick(c: Column, n: int | Column, draw: int = 0) -> Column:
     """A number from 0 to n-1 for the text. ``draw`` gives further, unrelated picks."""
+    size = (F.lit(n) if isinstance(n, int) else n).cast("decimal(20,0)")
     h = stable_hash(c)
     for _ in range(draw):
-        h = F.floor(h / F.lit(n).cast("decimal(20,0)")).cast("decimal(20,0)")
-    return F.pmod(h, F.lit(n).cast("decimal(20,0)")).cast("int")
+        h = F.floor(h / size).cast("decimal(20,0)")
+    return F.pmod(h, size).cast("int")

@@ -61,37 +61,39 @@ def from_records(records: DataFrame, cfg: RankConfig) -> DataFrame:
     )
 
 
-def career_span(roles: DataFrame) -> DataFrame:
-    """Months between the first start and the last end, over the roles with a start."""
-    dated = roles.select(
+def dated_roles(roles: DataFrame) -> DataFrame:
+    """Roles with start, end and whole months as numbers; every date is parsed once."""
+    parsed = roles.select(
         "candidate_id",
+        "company",
         career.month_index(F.col("start_date")).alias("start"),
-        career.role_end(
-            career.month_index(F.col("start_date")), F.col("end_date"), F.col("duration_months")
-        ).alias("end"),
+        career.month_index(F.col("end_date")).alias("stated_end"),
+        career.role_months(F.col("duration_months")).alias("months"),
     )
-    first = F.min("start")
-    last = F.max(F.when(F.col("start").isNotNull(), F.col("end")))
-    return dated.groupBy("candidate_id").agg((last - first).cast("bigint").alias("span_months"))
+    return parsed.withColumn("end", career.role_end(F.col("start"), F.col("stated_end"), F.col("months")))
+
+
+def _span() -> Column:
+    return (F.max("end") - F.min("start")).cast("bigint")
+
+
+def career_span(roles: DataFrame) -> DataFrame:
+    """Months between the first start and the last end, over the roles with a start."""
+    return dated_roles(roles).groupBy("candidate_id").agg(_span().alias("span_months"))
 
 
 def career_figures(roles: DataFrame, cfg: RankConfig) -> DataFrame:
     """All figures over the roles in one aggregation; partial sums are built before the shuffle."""
-    start = career.month_index(F.col("start_date"))
-    r = roles.select(
-        "candidate_id",
-        start.alias("start"),
-        F.when(
-            start.isNotNull(), career.role_end(start, F.col("end_date"), F.col("duration_months"))
-        ).alias("end"),
-        career.role_months(F.col("duration_months")).alias("months"),
-        F.when(F.col("company") != "", is_consulting(F.col("company"), cfg)).alias("consulting"),
-    )
-    return r.groupBy("candidate_id").agg(
-        (F.max("end") - F.min("start")).cast("bigint").alias("span_months"),
-        F.sum("months").alias("tenure_months"),
-        (F.sum("months") / F.count("months") / F.lit(12.0)).alias("mean_tenure_years"),
-        F.bool_and("consulting").alias("only_consulting"),
+    consulting = F.when(F.col("company") != "", is_consulting(F.col("company"), cfg))
+    return (
+        dated_roles(roles)
+        .groupBy("candidate_id")
+        .agg(
+            _span().alias("span_months"),
+            F.sum("months").alias("tenure_months"),
+            (F.sum("months") / F.count("months") / F.lit(12.0)).alias("mean_tenure_years"),
+            F.bool_and(consulting).alias("only_consulting"),
+        )
     )
 
 

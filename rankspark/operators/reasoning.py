@@ -1,15 +1,15 @@
 """One sentence per ranked row, built from the facts of the row.
 
-Input columns: ``candidate_id, rank, title, years, github, notice_days, hopper``
+Input columns: ``candidate_id, rank, tier, title, years, github, notice_days, hopper``
 and the arrays ``named_skills`` and ``matched_set`` (lower case). Patterns are
 turned into Column expressions when the plan is built.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +17,11 @@ from rankspark import constants as fixed
 from rankspark.config import RankConfig
 from rankspark.functions import text
 from rankspark.functions.hashing import stable_pick
-from rankspark.operators.ranking import tier
+
+
+SLOTS = ("years", "title", "github", "skills", "notice")
+# stand for braces inside values while a pattern is filled (private use characters)
+_HIDDEN = "\ue000\ue001"
 
 
 class NoUniqueSentence(RuntimeError):
@@ -38,59 +42,69 @@ def slots(cfg: RankConfig) -> dict[str, Column]:
     }
 
 
-def fill(pattern: str, values: dict[str, Column]) -> Column:
-    """Expression for a pattern: ``{slot}`` is a value, ``[...]`` a part that needs its values."""
-    parts: list[Column] = []
-    for piece in re.findall(r"\[[^\]]*\]|[^\[]+", pattern):
-        optional = piece.startswith("[")
-        words = re.split(r"\{(\w+)\}", piece.strip("[]") if optional else piece)
-        body = F.concat(*[values[w] if i % 2 else F.lit(w) for i, w in enumerate(words)])
-        parts.append(F.coalesce(body, F.lit("")) if optional else body)
-    return F.concat(*parts) if parts else F.lit("")
+def with_slots(ranked: DataFrame, cfg: RankConfig) -> DataFrame:
+    """Add the slot values as columns ``<slot>_text``, so that each is made once per row."""
+    return ranked.withColumns({f"{name}_text": value for name, value in slots(cfg).items()})
+
 
+def _slot_columns() -> dict[str, Column]:
+    return {name: F.col(f"{name}_text") for name in SLOTS}
 
-def choose(options: list[Column], start: Column) -> Column:
+
+def fill(pattern: Column) -> Column:
+    """A pattern with its slots filled: ``{slot}`` is a value, ``[...]`` a part that needs its values.
+
+    Parts with a missing value go first, then values are put in. Braces inside a value
+    are kept apart meanwhile, so that a value is never taken for a slot.
+    """
+    out = pattern
+    for name, value in _slot_columns().items():
+        without = F.regexp_replace(out, rf"\[[^\[\]]*\{{{name}\}}[^\[\]]*\]", "")
+        out = F.when(value.isNull(), without).otherwise(out)
+    out = F.translate(out, "[]", "")
+    for name, value in _slot_columns().items():
+        safe = F.translate(F.coalesce(value, F.lit("")), "{}", _HIDDEN)
+        out = F.replace(out, F.lit("{" + name + "}"), safe)
+    return F.translate(out, _HIDDEN, "{}")
+
+
+def choose(options: Column, start: Column) -> Column:
     """The option at ``start``, or the next one (around the end) that is not empty."""
-    every = F.array(*options)
-    turned = F.concat(F.slice(every, start + 1, len(options)), F.slice(every, F.lit(1), start))
+    turned = F.concat(F.slice(options, start + 1, F.size(options)), F.slice(options, F.lit(1), start))
     return F.get(F.filter(turned, lambda o: o != ""), F.lit(0))
 
 
-def by_tier(cfg: RankConfig, make) -> Column:
-    t = tier(F.col("rank"), cfg)
-    return F.coalesce(*[F.when(t == name, make(name)) for name in fixed.TIER_PATTERNS])
+def _per_tier(table: dict[str, Column]) -> Column:
+    pairs = [c for name, value in table.items() for c in (F.lit(name), value)]
+    return F.element_at(F.create_map(*pairs), F.col("tier"))
 
 
-def lead(cfg: RankConfig, draw: int) -> Column:
-    """The sentence of the tier of a row, without concerns."""
-    values = slots(cfg)
+def options() -> Column:
+    """All sentences the tier of a row offers, without concerns."""
+    patterns = {t: F.array(*[F.lit(p) for p in every]) for t, every in fixed.TIER_PATTERNS.items()}
+    return F.transform(_per_tier(patterns), fill)
 
-    def make(name: str) -> Column:
-        options = [fill(p, values) for p in fixed.TIER_PATTERNS[name]]
-        return choose(options, stable_pick(F.col("candidate_id"), len(options), draw))
 
-    return by_tier(cfg, make)
+def lead(draw: int) -> Column:
+    """The sentence picked for a row out of its ``options`` column."""
+    return choose(F.col("options"), stable_pick(F.col("candidate_id"), F.size("options"), draw))
 
 
-def extra_fact(cfg: RankConfig) -> Column:
-    values = slots(cfg)
-    return by_tier(cfg, lambda name: fill(fixed.TIER_FACTS[name], values))
+def extra_fact() -> Column:
+    return fill(_per_tier({t: F.lit(p) for t, p in fixed.TIER_FACTS.items()}))
 
 
-def concern(cfg: RankConfig) -> Column:
+def concern() -> Column:
     return F.concat(
-        fill(fixed.NOTICE_CONCERN, slots(cfg)),
+        fill(F.lit(fixed.NOTICE_CONCERN)),
         F.when(F.col("hopper"), F.lit(fixed.HOPPER_CONCERN)).otherwise(F.lit("")),
     )
 
 
-def allowed_digits(cfg: RankConfig) -> Column:
+def allowed_digits() -> Column:
     """Digit runs a sentence may contain: those of years, notice, score, title and named skills."""
-    values = slots(cfg)
-    values["notice"] = F.col("notice_days").cast("bigint").cast("string")
-    values["skills"] = F.array_join(F.coalesce("named_skills", F.array().cast("array<string>")), " ")
-    found = [text.digit_runs(F.coalesce(v, F.lit(""))) for v in values.values()]
-    return F.array_distinct(F.flatten(F.array(*found)))
+    shown = _slot_columns() | {"notice": F.col("notice_days").cast("bigint").cast("string")}
+    return F.array_distinct(text.digit_runs(F.concat_ws(" ", *shown.values())))
 
 
 def ungrounded_digits(sentence: Column, allowed: Column) -> Column:
@@ -109,7 +123,7 @@ def is_grounded(sentence: Column, allowed: Column) -> Column:
 def is_specific(sentence: Column) -> Column:
     """Does the sentence hold a number, the title or a matched skill?"""
     low = F.lower(sentence)
-    title = F.lower(text.present(F.col("title")))
+    title = F.lower("title_text")
     skills = F.coalesce("matched_set", F.array().cast("array<string>"))
     return (
         F.rlike(sentence, F.lit(r"\p{Nd}"))
@@ -127,8 +141,8 @@ def with_sentence(ranked: DataFrame, cfg: RankConfig) -> DataFrame:
     """Add ``reasoning``: the richest sentence that fits, is grounded and says something specific.
 
     A row without one gets a general phrase chosen by its id, cut to the limit
-    before the full stop. Helper columns ``concern, allowed, general, is_general``
-    stay for the step that makes sentences unique.
+    before the full stop. Helper columns ``concern, allowed, general, is_general,
+    title_text`` stay for the step that makes sentences unique.
     """
     limit = cfg.max_reason_chars
     phrases = F.array(*[F.lit(p) for p in fixed.GENERAL_PHRASES])
@@ -141,23 +155,27 @@ def with_sentence(ranked: DataFrame, cfg: RankConfig) -> DataFrame:
     short = F.when(F.length(general) <= limit, general).otherwise(
         F.concat(text.strip_right(F.substring(general, 1, limit - 1)), F.lit("."))
     )
+    texts = [f"{name}_text" for name in SLOTS]
     return (
-        ranked.withColumns({"concern": concern(cfg), "allowed": allowed_digits(cfg)})
+        with_slots(ranked, cfg)
+        .withColumns({"concern": concern(), "allowed": allowed_digits(), "options": options()})
+        .withColumns({"lead": lead(0), "other_lead": lead(1)})
         .withColumns(
             {
-                "with_fact": closed(F.concat(lead(cfg, 0), extra_fact(cfg))),
-                "plain": closed(lead(cfg, 1)),
+                "with_fact": closed(F.concat("lead", extra_fact())),
+                "plain": closed(F.col("other_lead")),
                 "general": closed(F.get(phrases, pick)),
             }
         )
+        .withColumns({"fact_fits": fits(F.col("with_fact")), "plain_fits": fits(F.col("plain"))})
         .withColumn(
             "reasoning",
-            F.when(fits(F.col("with_fact")), F.col("with_fact"))
-            .when(fits(F.col("plain")), F.col("plain"))
+            F.when(F.col("fact_fits"), F.col("with_fact"))
+            .when(F.col("plain_fits"), F.col("plain"))
             .otherwise(short),
         )
-        .withColumn("is_general", ~(fits(F.col("with_fact")) | fits(F.col("plain"))))
-        .drop("with_fact", "plain")
+        .withColumn("is_general", ~(F.col("fact_fits") | F.col("plain_fits")))
+        .drop("with_fact", "plain", "options", "lead", "other_lead", "fact_fits", "plain_fits", *[t for t in texts if t != "title_text"])
     )
 
 
@@ -184,7 +202,7 @@ def other_sentences(cfg: RankConfig) -> Column:
     every = F.array(*[F.lit(p) for p in fixed.GENERAL_PHRASES])
     start = stable_pick(F.col("candidate_id"), n)
     turned = F.concat(F.slice(every, start + 1, n), F.slice(every, F.lit(1), start))
-    title = text.present(F.col("title"))
+    title = F.col("title_text")
     id_digits = text.digit_runs(F.col("candidate_id"))
 
     def tagged(tag: Column) -> Column:
@@ -208,30 +226,37 @@ def unique_in_order(rows: DataFrame, cfg: RankConfig) -> DataFrame:
     """Give every row of a job its own sentence, in rank order.
 
     A row keeps its sentence unless an earlier row has it; then it takes its first
-    unused other one. What a row gets depends on all rows before it, so a job is
-    handled as one group of at most N rows. The others are only written out for
-    rows that can need them: repeats, and rows whose sentence is a general one.
+    unused other one. What a row gets depends on all rows of its job before it, so
+    tasks read their jobs as sorted streams and remember the sentences of one job (at
+    most N). The others are only made for rows that can need them: repeats, and rows
+    whose sentence is a general one.
     """
-    helpers = ("concern", "allowed", "general", "is_general")
+    helpers = ("concern", "allowed", "general", "is_general", "title_text", "use_no")
     needs = (F.col("use_no") > 1) | F.col("is_general")
     none = F.array().cast("array<string>")
     ready = (
         with_repeat_number(rows)
         .withColumn("others", F.when(needs, other_sentences(cfg)).otherwise(none))
-        .drop(*helpers, "use_no")
+        .drop(*helpers)
+        .repartition("job_id")
+        .sortWithinPartitions("job_id", "rank", "candidate_id")
     )
     out_schema = ready.drop("others").schema
 
-    def assign(job: pd.DataFrame) -> pd.DataFrame:
-        job = job.sort_values(["rank", "candidate_id"], kind="stable")
-        used: set[str] = set()
-        chosen = []
-        for own, others in zip(job["reasoning"], job["others"]):
-            sentence = next((t for t in (own, *others) if t not in used), None)
-            if sentence is None:
-                raise NoUniqueSentence(f"job {job['job_id'].iloc[0]}")
-            used.add(sentence)
-            chosen.append(sentence)
-        return job.drop(columns="others").assign(reasoning=chosen)
-
-    return ready.groupBy("job_id").applyInPandas(assign, out_schema)
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, used = None, set()
+        for batch in batches:
+            chosen = []
+            columns = (batch.column(c).to_pylist() for c in ("job_id", "reasoning", "others"))
+            for row_job, own, others in zip(*columns):
+                if row_job != job:
+                    job, used = row_job, set()
+                sentence = next((t for t in (own, *others) if t not in used), None)
+                if sentence is None:
+                    raise NoUniqueSentence(f"job {job}")
+                used.add(sentence)
+                chosen.append(sentence)
+            at = batch.schema.get_field_index("reasoning")
+            yield batch.set_column(at, "reasoning", pa.array(chosen, pa.string())).drop_columns(["others"])
+
+    return ready.mapInArrow(assign, out_schema)

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +26,20 @@ class DuplicateJob(ValueError):
     """Two jobs share an id."""
 
 
-def query_blocks(queries: DataFrame, cfg: RankConfig, dim_rows: int | None = None) -> Iterator[tuple[list, np.ndarray]]:
+def query_blocks(queries: DataFrame, cfg: RankConfig) -> Iterator[tuple[list, np.ndarray]]:
     """Job vectors in blocks small enough for one task, as (ids, matrix of unit rows)."""
-    size = dim_rows or max(1, cfg.recall_state_rows // cfg.recall_k)
-    counts = queries.agg(F.count("job_id").alias("n"), F.count_distinct("job_id").alias("d")).first()
-    if counts["n"] != counts["d"]:
-        raise DuplicateJob(f"{counts['n'] - counts['d']} job ids occur more than once")
-    n_blocks = 1 if counts["n"] <= size else -(-2 * counts["n"] // size)
-    for b in range(n_blocks):
-        part = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("job_id"), F.lit(n_blocks)) == b)
-        rows = part.select("job_id", "job_vec").where(F.col("job_vec").isNotNull()).collect()
-        rows.sort(key=lambda r: r["job_id"])
+    size = max(1, cfg.recall_state_rows // cfg.recall_k)
+    slim = queries.select("job_id", "job_vec")
+    first = slim.limit(size + 1).collect()
+    if len(first) <= size:
+        parts = [first]
+    else:
+        n = -(-2 * slim.count() // size)
+        parts = (slim.where(F.pmod(F.xxhash64("job_id"), F.lit(n)) == b).collect() for b in range(n))
+    for rows in parts:
+        if len({r["job_id"] for r in rows}) < len(rows):
+            raise DuplicateJob("job ids must be unique")
+        rows = sorted((r for r in rows if r["job_vec"] is not None), key=lambda r: r["job_id"])
         if rows:
             yield [r["job_id"] for r in rows], unit_rows(np.array([r["job_vec"] for r in rows]))
 
@@ -62,6 +66,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def similarities(batch: pa.RecordBatch, queries: np.ndarray, digits: int | None, cells: int = 4_000_000):
     """Cosine of all rows of a batch with all queries, in slices of bounded size."""
     dim = queries.shape[1]
+    batch = batch.filter(pc.is_valid(batch.column(1)))
     step = max(1, cells // len(queries))
     for at in range(0, batch.num_rows, step):
         part = batch.slice(at, step)
@@ -71,9 +76,8 @@ def similarities(batch: pa.RecordBatch, queries: np.ndarray, digits: int | None,
 
 
 def _candidate_vectors(vectors: DataFrame) -> DataFrame:
-    return vectors.select("candidate_id", F.col("embedding").cast("array<float>")).where(
-        F.col("embedding").isNotNull()
-    )
+    # rows without a vector are left out by the tasks: a filter here would run an encoder twice
+    return vectors.select("candidate_id", F.col("embedding").cast("array<float>"))
 
 
 def _local_best(vectors: DataFrame, job_ids: list, queries: np.ndarray, k: int, cfg: RankConfig) -> DataFrame:

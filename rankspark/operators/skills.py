@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankspark.config import RankConfig
 from rankspark.functions import text
-from rankspark.session import narrow, small_side
+from rankspark.session import cut, narrow, small_side
 
 
 def is_match(skill: Column, job_text: Column, cfg: RankConfig) -> Column:
@@ -43,8 +43,9 @@ def named_skills(matched: DataFrame, cfg: RankConfig) -> DataFrame:
     """First matches by position per pair, as an array, with the set of all distinct matches.
 
     Only the first few rows per pair are collected; distinct matches are bounded by
-    the words of the job text.
+    the words of the job text. The matches are few and read twice, so they are stored.
     """
+    matched = cut(matched)
     w = Window.partitionBy("job_id", "candidate_id").orderBy("pos", "skill")
     first = (
         matched.withColumn("rn", F.row_number().over(w))

@@ -93,7 +93,7 @@ def ranked_bad(v: Views) -> DataFrame:
 
 
 def records(v: Views) -> DataFrame:
-    return candidates.keep_first(candidates.records(v.parsed))
+    return candidates.keep_first_in_place(candidates.records(v.parsed), CFG)
 
 
 # Scans, sources and sinks
@@ -411,9 +411,9 @@ def cosine_scores(v: Views) -> DataFrame:
 @query
 def hashed_vectors(v: Views) -> DataFrame:
     """Token counts per hash bucket over whole documents."""
-    made = vectors.encode(v.table("documents").select("doc_id", "text"), "text", HashedTokens, normalize=False)
+    made = vectors.encode(v.wide_table("documents").select("doc_id", "text"), "text", HashedTokens, normalize=False)
     return (
-        made.select("doc_id", F.posexplode("embedding").alias("bucket", "n"))
+        made.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "n"))
         .where(F.col("n") > 0)
         .select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("n").cast("bigint").alias("n_tokens"))
     )
@@ -422,7 +422,7 @@ def hashed_vectors(v: Views) -> DataFrame:
 @query
 def text_similarity_topk(v: Views) -> DataFrame:
     """Documents most similar to every benchmark text."""
-    docs = vectors.encode(v.table("documents").select("doc_id", "text"), "text", HashedTokens, normalize=False)
+    docs = vectors.encode(v.wide_table("documents").select("doc_id", "text"), "text", HashedTokens, normalize=False)
     items = vectors.encode(
         v.table("benchmark").select(F.col("item_id").alias("job_id"), "text"), "text", HashedTokens, "job_vec", False
     )
@@ -503,7 +503,7 @@ def rank_candidates(v: Views) -> DataFrame:
 @query
 def rank_records(v: Views) -> DataFrame:
     """The whole run from raw lines: ingest, text, vectors, recall, rules, factors, sentences."""
-    rows = cut(candidates.keep_first(candidates.records(v.parsed)).drop("source_pos"))
+    rows = cut(records(v).drop("source_pos"))
     made = cut(features.build(rows, CFG))
     wanted = runs.embed_jobs(v.job_texts.select("job_id", "jd_text"))
     out = runs.rank_candidates(rows, made, wanted, CFG)
@@ -521,18 +521,19 @@ def reason_fragments(v: Views) -> DataFrame:
 
 @query
 def reason_by_tier(v: Views) -> DataFrame:
-    return ranked(v).select(
+    rows = reasoning.with_slots(ranked(v), CFG).withColumn("options", reasoning.options())
+    return rows.select(
         "job_id",
         "candidate_id",
         "tier",
-        F.concat(reasoning.lead(CFG, 0), reasoning.extra_fact(CFG)).alias("rich"),
-        reasoning.lead(CFG, 1).alias("plain"),
+        F.concat(reasoning.lead(0), reasoning.extra_fact()).alias("rich"),
+        reasoning.lead(1).alias("plain"),
     )
 
 
 @query
 def concern_clause(v: Views) -> DataFrame:
-    return ranked(v).select("job_id", "candidate_id", reasoning.concern(CFG).alias("concern"))
+    return reasoning.with_slots(ranked(v), CFG).select("job_id", "candidate_id", reasoning.concern().alias("concern"))
 
 
 @query

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.session import spread
 from rankspark.sources.candidates import parse
 
 # Job descriptions: one per benchmark item; some name skills, with whole-word traps and denied skills.
@@ -138,9 +139,13 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def wide_table(self, name: str) -> DataFrame:
+        """A table whose rows cost much work each; spread out when it has fewer splits than there are cores."""
+        return spread(self.table(name))
+
     def _view(self, name: str) -> DataFrame:
         sql, inputs = VIEWS[name]
-        return self.spark.sql(sql, **{t: self.table(t) for t in inputs})
+        return self.spark.sql(sql, **{t: self.wide_table(t) if t == "lineitem" else self.table(t) for t in inputs})
 
     @cached_property
     def cand(self) -> DataFrame:
@@ -183,9 +188,8 @@ class Views:
     @cached_property
     def lines(self) -> DataFrame:
         """Raw JSON lines with their position."""
-        return self.spark.sql(LINES, documents=self.table("documents")).select(
-            "value", F.col("doc_id").alias("source_pos")
-        )
+        made = self.spark.sql(LINES, documents=self.wide_table("documents"))
+        return made.select(F.explode(F.array("value")).alias("value"), F.col("doc_id").alias("source_pos"))
 
     @cached_property
     def parsed(self) -> DataFrame:

@@ -35,9 +35,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store a small, costly result reliably, so that later steps do not repeat the work before it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store a small, costly result as a table in the shared folder and go on from there.
+
+    Later steps do not repeat the work before it, a lost executor does not either, and
+    Spark knows the real size of the table when it chooses joins.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare scan over fewer splits than cores, dealt out to all cores; larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def small_side(df: DataFrame, rows: int, cfg: RankConfig) -> DataFrame:

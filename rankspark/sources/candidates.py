@@ -8,10 +8,12 @@ moderate size load best.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.config import RankConfig
 from rankspark.functions import text
+from rankspark.session import cut
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -27,18 +29,23 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Lines with content, as a variant ``doc`` and a ``fault`` (null for a good line)."""
+    """Lines with content, as a variant ``doc`` and a ``fault`` (null for a good line).
+
+    The variant comes out of an explode of one element: filters on it stay above, so a
+    line is parsed once and not again for every condition.
+    """
     valid = F.is_valid_utf8("value")
     doc = F.try_parse_json(F.when(valid, F.col("value")))
     kind = F.schema_of_variant("doc")
     return (
         lines.where(~valid | (text.strip(F.col("value")) != ""))
-        .withColumn("doc", doc)
+        .withColumn("doc", F.explode(F.array(doc)))
         .withColumn(
             "fault",
-            F.when(~valid, F.lit("not utf-8"))
-            .when(F.col("doc").isNull(), F.lit("not json"))
-            .when(~F.startswith(kind, F.lit("OBJECT")), F.lit("not an object")),
+            F.when(F.col("doc").isNotNull() & F.startswith(kind, F.lit("OBJECT")), F.lit(None))
+            .when(F.col("doc").isNotNull(), F.lit("not an object"))
+            .when(valid, F.lit("not json"))
+            .otherwise(F.lit("not utf-8")),
         )
     )
 
@@ -49,11 +56,8 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 
 
 def _is(v: Column, *kinds: str) -> Column:
-    kind = F.schema_of_variant(v)
-    test = F.lit(False)
-    for k in kinds:
-        test = test | F.startswith(kind, F.lit(k))
-    return F.coalesce(test, F.lit(False))
+    found = F.rlike(F.schema_of_variant(v), F.lit(f"^(?:{'|'.join(kinds)})"))
+    return F.coalesce(found, F.lit(False))
 
 
 def _at(v: Column, key: str) -> Column:
@@ -136,6 +140,34 @@ def keep_first(rows: DataFrame, key: str = "candidate_id", position: str = "sour
     return rows.groupBy(key).agg(first).select(key, *[F.col("first")[c].alias(c) for c in others])
 
 
+def keep_first_in_place(
+    rows: DataFrame, cfg: RankConfig, key: str = "candidate_id", position: str = "source_pos"
+) -> DataFrame:
+    """The same as ``keep_first`` for wide rows, of which few repeat.
+
+    Only ids and positions are shuffled, to find the repeated ids and where each stands
+    first. While these are few enough to be broadcast, every other row of theirs is
+    filtered out where it lies. Positions must be unique.
+    """
+    repeated = (
+        rows.groupBy(key)
+        .agg(F.min(position).alias("first_pos"), F.count(F.lit(1)).alias("n_rows"))
+        .where(F.col("n_rows") > 1)
+        .drop("n_rows")
+    )
+    repeated = cut(repeated)
+    n = repeated.count()
+    if n == 0:
+        return rows
+    if n > cfg.broadcast_rows:
+        return keep_first(rows, key, position)
+    return (
+        rows.join(F.broadcast(repeated), key, "left")
+        .where(F.col("first_pos").isNull() | (F.col("first_pos") == F.col(position)))
+        .drop("first_pos")
+    )
+
+
 def repeated_ids(rows: DataFrame, key: str = "candidate_id") -> DataFrame:
     """Ids that occur more than once, with their number of rows."""
     return (
@@ -146,9 +178,12 @@ def repeated_ids(rows: DataFrame, key: str = "candidate_id") -> DataFrame:
     )
 
 
-def scan_candidates(spark: SparkSession, path: str | list[str], signals_field: str = "signals") -> DataFrame:
+def scan_candidates(
+    spark: SparkSession, path: str | list[str], cfg: RankConfig, signals_field: str = "signals"
+) -> DataFrame:
     """Read, parse and keep the first record per id."""
-    return keep_first(records(parse(read_lines(spark, path)), signals_field)).drop("source_pos")
+    rows = records(parse(read_lines(spark, path)), signals_field)
+    return keep_first_in_place(rows, cfg).drop("source_pos")
 
 
 def compose_text(r: DataFrame) -> Column:
