@@ -119,7 +119,7 @@ def from_tables(
 ) -> DataFrame:
     """Facts of the given ids from separate tables.
 
-    ``ids`` holds distinct ids, at most ``rows`` of them. The large tables are
+    ``ids`` holds at most ``rows`` ids; repeats do no harm. The large tables are
     first narrowed to these ids by broadcast, then aggregated per candidate with
     partial sums, so that a candidate with very many rows does not load one task.
     """

@@ -98,9 +98,14 @@ def reasoning_present(ranked: DataFrame) -> DataFrame:
     return _errors(ranked.where(blank), "reasoning_present", F.lit("no reasoning"))
 
 
+def known_ids(ranked: DataFrame, candidates: DataFrame, rows: int, cfg: RankConfig) -> DataFrame:
+    """Ids of the records, narrowed to those of the ranked rows."""
+    return narrow(candidates.select("candidate_id"), ranked.select("candidate_id"), rows, "candidate_id", cfg)
+
+
 def existence(ranked: DataFrame, candidates: DataFrame, rows: int, cfg: RankConfig) -> DataFrame:
-    """Ids that no record has. The records are narrowed to the ranked ids first."""
-    known = narrow(candidates.select("candidate_id"), ranked.select("candidate_id"), rows, "candidate_id", cfg)
+    """Ids that no record has."""
+    known = known_ids(ranked, candidates, rows, cfg)
     return _errors(ranked.join(known, "candidate_id", "left_anti"), "existence", F.lit("id not found"))
 
 
@@ -141,9 +146,12 @@ def loose_digits(ranked: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def grounded(
-    ranked: DataFrame, facts: DataFrame, skills: DataFrame, rows: int, cfg: RankConfig
+    ranked: DataFrame, candidates: DataFrame, facts: DataFrame, skills: DataFrame, rows: int, cfg: RankConfig
 ) -> DataFrame:
-    """Sentences with an open placeholder or a number from nowhere, for ids that have a record."""
+    """Sentences with an open placeholder or a number from nowhere, for ids that have a record.
+
+    ``facts`` need to cover the ranked ids only.
+    """
     ids_ = ranked.select("candidate_id")
     tokens = record_digits(facts).unionByName(skill_digits(narrow(skills, ids_, rows, "candidate_id", cfg)))
     loose = loose_digits(ranked, tokens).select("job_id", "row_no", "candidate_id")
@@ -151,7 +159,8 @@ def grounded(
         "job_id", "row_no", "candidate_id"
     )
     bad = loose.unionByName(braces).distinct()
-    return _errors(bad.join(facts.select("candidate_id"), "candidate_id", "left_semi"), "grounded", F.lit("not grounded"))
+    known = known_ids(ranked, candidates, rows, cfg)
+    return _errors(bad.join(known, "candidate_id", "left_semi"), "grounded", F.lit("not grounded"))
 
 
 def report(
@@ -172,7 +181,7 @@ def report(
         monotonic(ranked),
         reasoning_present(ranked),
         existence(ranked, candidates, rows, cfg),
-        grounded(ranked, facts, skills, rows, cfg),
+        grounded(ranked, candidates, facts, skills, rows, cfg),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -92,6 +92,12 @@ def ranked_bad(v: Views) -> DataFrame:
     return cut(bad)
 
 
+def facts_of(v: Views, rows: DataFrame) -> DataFrame:
+    """Facts of the ids of some ranked rows."""
+    ids = rows.select("candidate_id")
+    return facts_.from_tables(ids, rows.count(), v.cand, v.roles, v.sig, v.skl, CFG)
+
+
 def records(v: Views) -> DataFrame:
     return candidates.keep_first_in_place(candidates.records(v.parsed), CFG)
 
@@ -172,7 +178,7 @@ def ranked_reload(v: Views) -> DataFrame:
 def compose_text(v: Views) -> DataFrame:
     """The whole text, and the part of it the encoder reads."""
     rows = records(v)
-    whole = rows.select("candidate_id", candidates.compose_text(rows).alias("text"))
+    whole = rows.select("candidate_id", candidates.compose_text().alias("text"))
     return whole.withColumn("encoder_text", F.substring("text", 1, CFG.encoder_chars))
 
 
@@ -551,7 +557,8 @@ def grounding_check(v: Views) -> DataFrame:
 def ungrounded_digits(v: Views) -> DataFrame:
     """Digit runs of ranked rows with planted faults that no field of the record holds."""
     bad = ranked_bad(v)
-    tokens = quality.record_digits(all_facts(v)).unionByName(quality.skill_digits(v.skl))
+    mine = runs.narrow(v.skl, bad.select("candidate_id"), bad.count(), "candidate_id", CFG)
+    tokens = quality.record_digits(facts_of(v, bad)).unionByName(quality.skill_digits(mine))
     return quality.loose_digits(bad, tokens).select(
         "job_id", F.col("row_no").cast("bigint").alias("row_no"), "candidate_id", "token"
     )
@@ -632,13 +639,13 @@ def check_existence(v: Views) -> DataFrame:
 @query
 def check_grounded(v: Views) -> DataFrame:
     bad = ranked_bad(v)
-    return quality.grounded(bad, all_facts(v), v.skl, bad.count(), CFG)
+    return quality.grounded(bad, v.cand, facts_of(v, bad), v.skl, bad.count(), CFG)
 
 
 @query
 def validation_report(v: Views) -> DataFrame:
     bad = ranked_bad(v)
-    return quality.report(bad, v.job_texts, v.cand, all_facts(v), v.skl, bad.count(), CFG)
+    return quality.report(bad, v.job_texts, v.cand, facts_of(v, bad), v.skl, bad.count(), CFG)
 
 
 # Browse

@@ -54,8 +54,7 @@ def marked_tables(
 ) -> tuple[DataFrame, DataFrame, int]:
     """Marked pairs, recalled pairs and their number, for data in separate tables."""
     recalled, rows = recall(vectors, jobs, cfg)
-    ids = recalled.select("candidate_id").distinct()
-    facts = facts_.from_tables(ids, rows, cand, roles, signals, skl, cfg)
+    facts = facts_.from_tables(recalled.select("candidate_id"), rows, cand, roles, signals, skl, cfg)
     return mark(recalled, rows, facts, cfg), recalled, rows
 
 

@@ -186,7 +186,7 @@ def scan_candidates(
     return keep_first_in_place(rows, cfg).drop("source_pos")
 
 
-def compose_text(r: DataFrame) -> Column:
+def compose_text() -> Column:
     """The whole text of a record in a fixed order of parts; empty parts vanish."""
     profile, history, education = F.col("profile"), F.col("career_history"), F.col("education")
 

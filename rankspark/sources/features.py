@@ -24,10 +24,8 @@ class MissingColumns(ValueError):
 
 def with_text(records: DataFrame, cfg: RankConfig) -> DataFrame:
     """``candidate_id, text, text_hash``: what the encoder reads, limited to its input length."""
-    whole = compose_text(records)
-    return records.select("candidate_id", F.substring(whole, 1, cfg.encoder_chars).alias("text")).withColumn(
-        "text_hash", F.sha2("text", 256)
-    )
+    cut_text = F.substring(compose_text(), 1, cfg.encoder_chars)
+    return records.select("candidate_id", cut_text.alias("text")).withColumn("text_hash", F.sha2("text", 256))
 
 
 def build(

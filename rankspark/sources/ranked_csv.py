@@ -67,15 +67,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of one file as text with their position, for checks: ``row_no``, the fields and ``n_fields``.
+    """Rows of files as text with their position, for checks: ``row_no``, the fields and ``_corrupt``.
 
-    The header is kept apart by ``header_of``. Fields beyond the fourth are counted, not kept.
+    ``_corrupt`` holds the line when it has not four fields. See ``header_of`` for the header.
     """
     schema = "candidate_id string, rank string, score string, reasoning string, _corrupt string"
     rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
+        .option("columnPruning", False)
         .option("escape", '"')
         .option("columnNameOfCorruptRecord", "_corrupt")
         .csv(path)

@@ -53,7 +53,8 @@ def ingest(
         return spark.read.schema(empty.schema).parquet(path)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        parsed = candidates.parse(batch)
+        position = F.struct("file", "block", F.monotonically_increasing_id().alias("line"))
+        parsed = candidates.parse(batch.select("value", position.alias("source_pos")))
         bad = candidates.quarantine(parsed).select(
             "value", "fault", F.lit(batch_id).cast("bigint").alias("batch_id")
         )
@@ -73,14 +74,7 @@ def ingest(
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(source)
-        .select(
-            "value",
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("line"),
-            ).alias("source_pos"),
-        )
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     )
     return (
         lines.writeStream.option("checkpointLocation", progress)
