@@ -314,13 +314,14 @@ PARTS |= {
 }
 
 
-def sql(body: str, *parts: str) -> str:
-    """The parts (with what they read, each once) and then the body."""
+def sql(body: str, *parts: str, instead: dict | None = None) -> str:
+    """The parts (with what they read, each once) and then the body. ``instead`` replaces parts."""
+    known = PARTS | (instead or {})
     order: list[str] = []
 
     def visit(name: str) -> None:
         if name not in order:
-            for need in PARTS[name][0]:
+            for need in known[name][0]:
                 visit(need)
             order.append(name)
 
@@ -328,12 +329,54 @@ def sql(body: str, *parts: str) -> str:
         visit(p)
     if not order:
         return body
-    ctes = ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS ({known[n][1]})" for n in order)
     return f"WITH {'RECURSIVE ' if 'assigned' in order else ''}{ctes}\n{body}"
 
 
-def oracle(name: str, body: str, *parts: str) -> None:
-    ORACLES[name] = sql(body, *parts)
+def oracle(name: str, body: str, *parts: str, instead: dict | None = None) -> None:
+    ORACLES[name] = sql(body, *parts, instead=instead)
+
+
+def _weights(key: str, text: str, source: str) -> str:
+    """Unit weights per hash bucket as stored: single precision."""
+    return f"""SELECT {key}, bucket, CAST(CAST(n AS FLOAT) / sqrt(sum(n * n) OVER (PARTITION BY {key})::DOUBLE) AS FLOAT)::DOUBLE AS w
+               FROM (SELECT {key}, ('0x' || substr(sha256(token), 1, 16))::UBIGINT % 384 AS bucket, count(*) AS n
+                     FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS token FROM {source}) t
+                     GROUP BY ALL) c"""
+
+
+# The same run over records made from documents: other vectors, facts and skills, the rest unchanged.
+FROM_RECORDS = {
+    "doc_weights": (("composed",), _weights("candidate_id", "substr(text, 1, 2000)", "composed")),
+    "job_weights": (("jobs",), _weights("job_id", "jd_text", "jobs")),
+    "scores": (
+        ("doc_weights", "job_weights"),
+        f"""SELECT j.job_id, d.candidate_id, {_r6("coalesce(p.s, 0e0) / (j.n * d.n)")} AS sem_score
+            FROM (SELECT candidate_id, sqrt(sum(w * w)) AS n FROM doc_weights GROUP BY 1) d
+            CROSS JOIN (SELECT job_id, sqrt(sum(w * w)) AS n FROM job_weights GROUP BY 1) j
+            LEFT JOIN (SELECT job_id, candidate_id, sum(a.w * b.w) AS s
+                       FROM doc_weights a JOIN job_weights b USING (bucket) GROUP BY ALL) p
+              ON p.job_id = j.job_id AND p.candidate_id = d.candidate_id""",
+    ),
+    "facts": (
+        ("good_docs",),
+        """SELECT *, coalesce(CASE WHEN stated_years >= 0 THEN stated_years END, tenure_months / 12e0) AS years
+           FROM (SELECT candidate_id, CASE doc_id % 3 WHEN 0 THEN ' Data Engineer ' WHEN 2 THEN '' END AS title,
+                        CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN -1e0 ELSE CAST(doc_id % 30 AS DOUBLE) END AS stated_years,
+                        CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 50 END AS span_months,
+                        20 + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 50 END AS tenure_months,
+                        CASE WHEN doc_id % 3 = 0 THEN 20e0 / 12e0 ELSE (20 + doc_id % 50) / 2e0 / 12e0 END AS mean_tenure_years,
+                        false AS only_consulting, CAST(doc_id % 100 AS DOUBLE) AS notice_days,
+                        CAST(NULL AS DOUBLE) AS response_rate, CAST(NULL AS DOUBLE) AS completion_rate, CAST(NULL AS DOUBLE) AS github,
+                        true AS has_expert, doc_id % 4 = 2 AS has_ai_skill FROM good_docs) g""",
+    ),
+    "skl": (
+        ("good_docs",),
+        """SELECT candidate_id, unnest(names) AS skill, unnest(range(1, len(names) + 1)) AS pos
+           FROM (SELECT candidate_id, CASE doc_id % 4 WHEN 0 THEN ['Go', 'C++'] WHEN 1 THEN ['Python', 'Kafka', 'Python']
+                                           WHEN 2 THEN ['RAG', 'LLM', '5'] ELSE [] END AS names FROM good_docs) g""",
+    ),
+}
 
 
 # Scans, sources and sinks
@@ -574,6 +617,13 @@ oracle(
     "assigned",
 )
 
+oracle(
+    "rank_records",
+    f"SELECT job_id, candidate_id, rank, {_r6('score')} AS score, reasoning FROM assigned",
+    "assigned",
+    instead=FROM_RECORDS,
+)
+
 # Sentences
 oracle(
     "reason_fragments",
