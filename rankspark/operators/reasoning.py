@@ -20,8 +20,9 @@ from rankspark.functions.hashing import stable_pick
 
 
 SLOTS = ("years", "title", "github", "skills", "notice")
-# stand for braces inside values while a pattern is filled (private use characters)
-_HIDDEN = "\ue000\ue001"
+# stand for braces and brackets inside values, and for a missing value, while a pattern is filled
+_HIDDEN = "\ue000\ue001\ue002\ue003"
+_MISSING = "\ue004"
 
 
 class NoUniqueSentence(RuntimeError):
@@ -54,18 +55,15 @@ def _slot_columns() -> dict[str, Column]:
 def fill(pattern: Column) -> Column:
     """A pattern with its slots filled: ``{slot}`` is a value, ``[...]`` a part that needs its values.
 
-    Parts with a missing value go first, then values are put in. Braces inside a value
-    are kept apart meanwhile, so that a value is never taken for a slot.
+    A missing value is marked first and takes its part away. Braces and brackets inside
+    values are replaced meanwhile, so that a value is never read as part of the pattern.
     """
     out = pattern
     for name, value in _slot_columns().items():
-        without = F.regexp_replace(out, rf"\[[^\[\]]*\{{{name}\}}[^\[\]]*\]", "")
-        out = F.when(value.isNull(), without).otherwise(out)
-    out = F.translate(out, "[]", "")
-    for name, value in _slot_columns().items():
-        safe = F.translate(F.coalesce(value, F.lit("")), "{}", _HIDDEN)
-        out = F.replace(out, F.lit("{" + name + "}"), safe)
-    return F.translate(out, _HIDDEN, "{}")
+        shown = F.coalesce(F.translate(value, "{}[]", _HIDDEN), F.lit(_MISSING))
+        out = F.replace(out, F.lit("{" + name + "}"), shown)
+    out = F.regexp_replace(out, rf"\[[^\[\]]*{_MISSING}[^\[\]]*\]", "")
+    return F.translate(F.translate(out, "[]" + _MISSING, ""), _HIDDEN, "{}[]")
 
 
 def choose(options: Column, start: Column) -> Column:

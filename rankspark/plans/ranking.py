@@ -12,7 +12,7 @@ from rankspark.functions.vectors import Encoder, HashedTokens, encode
 from rankspark.operators import facts as facts_
 from rankspark.operators import ranking, reasoning, rules, scoring, skills
 from rankspark.operators.recall import top_matches
-from rankspark.session import cut, narrow, small_side
+from rankspark.session import by_key, cut, narrow, small_side
 
 
 def embed_jobs(jobs: DataFrame, make_encoder: Callable[[], Encoder] = HashedTokens) -> DataFrame:
@@ -70,18 +70,20 @@ def rank_tables(
     """Ranked rows with facts and named skills, ready for sentences, from separate tables."""
     marked, _, _ = marked_tables(vectors, jobs, cand, roles, signals, skl, cfg)
     top = cut(best(marked, cfg))
-    named = skills.named_skills(skills.matched_rows(top, top.count(), jobs, skl, cfg), cfg)
-    return top.join(named, ["job_id", "candidate_id"], "left")
+    n = top.count()
+    named = skills.named_skills(skills.matched_rows(top, n, jobs, skl, cfg), cfg)
+    return by_key(top.join(named, ["job_id", "candidate_id"], "left"), "job_id", n)
 
 
 def rank_records(records: DataFrame, vectors: DataFrame, jobs: DataFrame, cfg: RankConfig) -> DataFrame:
     """The same from ingested records. Only the recalled records are read beyond their id."""
     recalled, rows = recall(vectors, jobs, cfg)
     chosen = narrow(records, recalled.select("candidate_id"), rows, "candidate_id", cfg)
-    top = best(mark(recalled, rows, facts_.from_records(chosen, cfg), cfg), cfg)
+    top = cut(best(mark(recalled, rows, facts_.from_records(chosen, cfg), cfg), cfg))
     matched = skills.matched_in(F.col("skills"), F.col("jd_text"), cfg)
     return (
-        top.join(jobs.select("job_id", "jd_text"), "job_id")
+        by_key(top, "job_id", top.count())
+        .join(jobs.select("job_id", "jd_text"), "job_id")
         .withColumn("matched", matched)
         .withColumn("named_skills", F.slice("matched", 1, cfg.skills_named))
         .withColumn("matched_set", F.array_distinct(F.transform("matched", F.lower)))

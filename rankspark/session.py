@@ -51,6 +51,12 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def by_key(df: DataFrame, key: str, rows: int, rows_per_task: int = 500) -> DataFrame:
+    """Rows with costly expressions, grouped by key into as many tasks as their number is worth."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(most, rows // rows_per_task)), key)
+
+
 def small_side(df: DataFrame, rows: int, cfg: RankConfig) -> DataFrame:
     """Mark ``df`` for broadcast when its known row bound is small; otherwise leave the choice to Spark."""
     return F.broadcast(df) if rows <= cfg.broadcast_rows else df
