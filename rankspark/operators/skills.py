@@ -10,14 +10,14 @@ from rankspark.functions import text
 from rankspark.session import cut, narrow, small_side
 
 
-def is_match(skill: Column, job_text: Column, cfg: RankConfig) -> Column:
-    s = F.lower(skill)
-    return ~s.isin(list(cfg.denied_skills)) & text.has_whole_word(F.lower(F.coalesce(job_text, F.lit(""))), s)
+def is_match(skill_lower: Column, text_lower: Column, cfg: RankConfig) -> Column:
+    """Is the skill named in the text as a whole word, and not one of the denied? Both in lower case."""
+    return ~skill_lower.isin(list(cfg.denied_skills)) & text.has_whole_word(text_lower, skill_lower)
 
 
-def matched_in(skills: Column, job_text: Column, cfg: RankConfig) -> Column:
+def matched_in(skills: Column, text_lower: Column, cfg: RankConfig) -> Column:
     """Matches within an array of skill names of one record; order and repeats stay."""
-    return F.filter(skills, lambda s: is_match(s, job_text, cfg))
+    return F.filter(skills, lambda s: is_match(F.lower(s), text_lower, cfg))
 
 
 def matched_rows(pairs: DataFrame, rows: int, jobs: DataFrame, skills: DataFrame, cfg: RankConfig) -> DataFrame:
@@ -32,9 +32,10 @@ def matched_rows(pairs: DataFrame, rows: int, jobs: DataFrame, skills: DataFrame
     return (
         own.withColumn("skill", text.present(F.col("skill")))
         .where(F.col("skill").isNotNull())
+        .withColumn("skill_lower", F.lower("skill"))
         .join(small_side(pairs, rows, cfg), "candidate_id")
-        .join(jobs.select("job_id", "jd_text"), "job_id")
-        .where(is_match(F.col("skill"), F.col("jd_text"), cfg))
+        .join(jobs.select("job_id", F.lower("jd_text").alias("jd_lower")), "job_id")
+        .where(is_match(F.col("skill_lower"), F.col("jd_lower"), cfg))
         .select("job_id", "candidate_id", "skill", "pos")
     )
 

@@ -80,14 +80,14 @@ def rank_records(records: DataFrame, vectors: DataFrame, jobs: DataFrame, cfg: R
     recalled, rows = recall(vectors, jobs, cfg)
     chosen = narrow(records, recalled.select("candidate_id"), rows, "candidate_id", cfg)
     top = cut(best(mark(recalled, rows, facts_.from_records(chosen, cfg), cfg), cfg))
-    matched = skills.matched_in(F.col("skills"), F.col("jd_text"), cfg)
+    matched = skills.matched_in(F.col("skills"), F.col("jd_lower"), cfg)
     return (
         by_key(top, "job_id", top.count())
-        .join(jobs.select("job_id", "jd_text"), "job_id")
+        .join(jobs.select("job_id", F.lower("jd_text").alias("jd_lower")), "job_id")
         .withColumn("matched", matched)
         .withColumn("named_skills", F.slice("matched", 1, cfg.skills_named))
         .withColumn("matched_set", F.array_distinct(F.transform("matched", F.lower)))
-        .drop("jd_text", "matched", "skills")
+        .drop("jd_lower", "matched", "skills")
     )
 
 

@@ -75,15 +75,17 @@ FROM {orders} GROUP BY o_custkey
 
 # Skills with their position: every line item gives one; large quantities give technical skills, others the brand.
 SKL = """
-SELECT candidate_id, skill, row_number() OVER (PARTITION BY candidate_id ORDER BY first_seen, skill) AS pos
-FROM (SELECT concat('CAND_', lpad(CAST(o_custkey AS STRING), 7, '0')) AS candidate_id,
-             CASE WHEN l_quantity <= 40 THEN p_brand
-                  ELSE CASE substr(p_name, 1, instr(p_name, ' ') - 1) WHEN 'red' THEN 'RAG' WHEN 'hot' THEN 'Go'
-                       WHEN 'blue' THEN 'Python' WHEN 'large' THEN 'LLM' WHEN 'new' THEN 'Qdrant' WHEN 'cold' THEN 'C++'
-                       WHEN 'small' THEN 'Marketing' ELSE 'Kafka' END END AS skill,
-             min(l_orderkey * 10 + l_linenumber) AS first_seen
-      FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {part} ON p_partkey = l_partkey
-      GROUP BY 1, 2) s
+SELECT concat('CAND_', lpad(CAST(o_custkey AS STRING), 7, '0')) AS candidate_id, skill, pos
+FROM (SELECT o_custkey, skill, row_number() OVER (PARTITION BY o_custkey ORDER BY first_seen, skill) AS pos
+      FROM (SELECT o_custkey, CASE WHEN l_quantity <= 40 THEN p_brand ELSE technical END AS skill,
+                   min(l_orderkey * 10 + l_linenumber) AS first_seen
+            FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+            JOIN (SELECT p_partkey, p_brand,
+                         CASE substr(p_name, 1, instr(p_name, ' ') - 1) WHEN 'red' THEN 'RAG' WHEN 'hot' THEN 'Go'
+                              WHEN 'blue' THEN 'Python' WHEN 'large' THEN 'LLM' WHEN 'new' THEN 'Qdrant' WHEN 'cold' THEN 'C++'
+                              WHEN 'small' THEN 'Marketing' ELSE 'Kafka' END AS technical
+                  FROM {part}) p ON p_partkey = l_partkey
+            GROUP BY 1, 2) s) t
 """
 
 # Arrivals: one row per event, so ids repeat; errors come without an id.

@@ -123,8 +123,8 @@ def test_whole_words(spark):
 
 
 def test_denied_skills(spark):
-    job = F.lit("Marketing, HR and Go")
-    assert texts(spark, skills.is_match(F.col("s"), job, CFG), "Marketing", "HR", "GO") == [False, False, True]
+    job = F.lit("marketing, hr and go")
+    assert texts(spark, skills.is_match(F.lower("s"), job, CFG), "Marketing", "HR", "GO") == [False, False, True]
 
 
 def test_tidy_and_strip(spark):
