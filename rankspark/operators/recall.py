@@ -11,15 +11,19 @@ read as one task can hold, so the result is whole for any number of jobs.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.config import RankConfig
 from rankspark.functions.vectors import unit_rows
+from rankspark.session import cut
 
 
 class DuplicateJob(ValueError):
@@ -80,10 +84,8 @@ def _candidate_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("candidate_id", F.col("embedding").cast("array<float>"))
 
 
-def _local_best(vectors: DataFrame, job_ids: list, queries: np.ndarray, k: int, cfg: RankConfig) -> DataFrame:
-    """K best rows per job and task."""
-    sc = vectors.sparkSession.sparkContext
-    shared = sc.broadcast((job_ids, queries))
+def _local_best(vectors: DataFrame, shared: Broadcast, k: int, cfg: RankConfig) -> DataFrame:
+    """K best rows per job and task. ``shared`` holds job ids and their matrix."""
     digits = cfg.score_digits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,28 +138,41 @@ def top_matches(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> Data
     """``(job_id, candidate_id, sem_score, recall_rank)``: exact top K per job, ties by id.
 
     ``vectors`` has ``candidate_id, embedding`` and ``queries`` has ``job_id, job_vec``.
+    Jobs of different blocks have nothing in common, so with more than one block each
+    pass is finished and stored before the next block is fetched.
     """
-    k = cfg.recall_k
-    passes = [_local_best(vectors, ids, q, k, cfg) for ids, q in query_blocks(queries, cfg)]
-    if not passes:
+    order = [F.desc("sem_score"), F.asc("candidate_id")]
+
+    def one_pass(block: tuple[list, np.ndarray]) -> tuple[DataFrame, Broadcast]:
+        shared = vectors.sparkSession.sparkContext.broadcast(block)
+        rows = _local_best(vectors, shared, cfg.recall_k, cfg)
+        return best_per_job(rows, cfg.recall_k, order, cfg.merge_salts), shared
+
+    blocks = query_blocks(queries, cfg)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         return vectors.sparkSession.createDataFrame(
             [], "job_id bigint, candidate_id string, sem_score double, recall_rank int"
         )
-    rows = passes[0]
-    for more in passes[1:]:
-        rows = rows.unionByName(more)
-    order = [F.desc("sem_score"), F.asc("candidate_id")]
-    return best_per_job(rows, k, order, cfg.merge_salts)
+    if second is None:
+        return one_pass(first)[0]
+    found = []
+    for block in chain((first, second), blocks):
+        best, shared = one_pass(block)
+        found.append(cut(best))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def score_summary(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> DataFrame:
     """Per job: how many candidates were compared, and the lowest, highest and mean similarity."""
     sc = vectors.sparkSession.sparkContext
-    parts = []
-    for ids, q in query_blocks(queries, cfg):
-        shared = sc.broadcast((ids, q))
+    schema = "job_id bigint, n bigint, low double, high double, total double"
+
+    def one_pass(block: tuple[list, np.ndarray]) -> DataFrame:
+        shared = sc.broadcast(block)
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             jobs, m = shared.value
             n, total = 0, np.zeros(len(jobs))
             low, high = np.full(len(jobs), np.inf), np.full(len(jobs), -np.inf)
@@ -173,12 +188,10 @@ def score_summary(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> Da
                     names=["job_id", "n", "low", "high", "total"],
                 )
 
-        parts.append(
-            _candidate_vectors(vectors).mapInArrow(run, "job_id bigint, n bigint, low double, high double, total double")
-        )
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+        return _candidate_vectors(vectors).mapInArrow(run, schema)
+
+    parts = [one_pass(block) for block in query_blocks(queries, cfg)]
+    rows = reduce(DataFrame.unionByName, parts, vectors.sparkSession.createDataFrame([], schema))
     return rows.groupBy("job_id").agg(
         F.sum("n").alias("n_scored"),
         F.min("low").alias("min_score"),
