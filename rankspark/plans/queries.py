@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankspark.config import RankConfig
@@ -34,7 +34,7 @@ def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
     return fn
 
 
-def r6(c: F.Column | str) -> F.Column:
+def r6(c: Column | str) -> Column:
     return scoring.rounded(F.col(c) if isinstance(c, str) else c, 6)
 
 
