@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +12,25 @@ from rankspark.config import RankConfig
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+class NoSharedFolder(RuntimeError):
+    """The cluster names no folder that the driver and all executors can reach."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    Only where the setting is absent (tests on one machine) a folder is made here.
+    A session on one machine (``local[...]``), where every folder is shared, falls back to
+    one below its warehouse. A cluster must name its own.
     """
-    named = spark.sparkContext.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(CHECKPOINT_SETTING, None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = context.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(CHECKPOINT_SETTING, None)
+    named = named or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="rankspark-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        if context.master != "local" and not context.master.startswith("local["):
+            raise NoSharedFolder(f"set {CHECKPOINT_SETTING} to a folder that driver and executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
