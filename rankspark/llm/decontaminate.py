@@ -98,21 +98,20 @@ def edits_within(window: np.ndarray, region: np.ndarray, most: int) -> int | Non
     Row ``i`` of the table holds the diagonals of the region only: its cells are
     ``region position = i + d``. Insertions run along a row and are taken by a running minimum.
     """
-    slack = len(region) - len(window)
-    width = slack + most + 1  # diagonals -most .. slack
-    d = np.arange(-most, slack + 1)
+    slack = max(len(region) - len(window), 0)
+    width = slack + 2 * most + 1  # diagonals -most .. slack + most
+    d = np.arange(-most, slack + most + 1)
     far = np.int64(1 << 30)
-    row = np.where(d >= 0, 0, far).astype(np.int64)
+    row = np.where((d >= 0) & (d <= len(region)), 0, far).astype(np.int64)
     steps = np.arange(width)
     padded = np.full(len(window) + len(region) + 2 * width + 2, 0xFFFFFFFF, dtype=np.uint32)
     padded[width : width + len(region)] = region
     for i in range(1, len(window) + 1):
         at = width + i - 1 - most
-        other = padded[at : at + width]
-        down = np.append(row[1:], far) + 1
-        new = np.minimum(row + (other != window[i - 1]), down)
+        new = np.minimum(row + (padded[at : at + width] != window[i - 1]), np.append(row[1:], far) + 1)
         new[(d + i < 0) | (d + i > len(region))] = far
         row = np.minimum.accumulate(new - steps) + steps
+        row[d + i > len(region)] = far
         if row.min() > most:
             return None
     best = int(row.min())
@@ -147,6 +146,8 @@ class Index:
 
     def search(self, text: str) -> Iterator[tuple[int, int, int]]:
         """``(window, edits, start)`` of every window found in the normalised text; the best place of each."""
+        if not self.windows:
+            return
         points = code_points(text)
         found = grams(points, self.cfg.q)
         hit = self.seen[self._slot(found)] if len(found) else np.empty(0, dtype=bool)

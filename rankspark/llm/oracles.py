@@ -157,7 +157,7 @@ FROM cells AS c JOIN known AS k ON {" AND ".join(f"c.{p} = k.{p}" for p in ["hos
 
 def _place_sql(root: Node, name: str) -> str:
     """CTEs that bring every row of ``docs(nr, key)`` down the tree, one level after the other."""
-    ctes, level, at = [], [root], f"(SELECT nr, key, 0 AS at FROM docs)"
+    ctes, level, at = [], [root], f"(SELECT nr, key, 0 AS node FROM docs)"
     depth = 0
     while any(n.children for n in level):
         below: list[Node] = []
@@ -169,16 +169,48 @@ def _place_sql(root: Node, name: str) -> str:
         depth += 1
         drawn = f"-ln((('0x' || substr(md5(d.key || '/' || c.name), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(16**13)}) / c.weight"
         ctes.append(
-            f"{name}{depth} AS (SELECT d.nr, d.key, arg_min(c.at, struct_pack(draw := {drawn}, at := c.at)) AS at FROM {at} AS d"
-            f" JOIN (VALUES {', '.join(rows)}) AS c(parent, name, weight, at) ON c.parent = d.at GROUP BY d.nr, d.key)"
+            f"{name}{depth} AS (SELECT d.nr, d.key, arg_min(c.node, struct_pack(draw := {drawn}, node := c.node)) AS node FROM {at} AS d"
+            f" JOIN (VALUES {', '.join(rows)}) AS c(parent, name, weight, node) ON c.parent = d.node GROUP BY d.nr, d.key)"
         )
         at, level = f"{name}{depth}", below
     shards = ", ".join(f"({i}, {n.shard})" for i, n in enumerate(level))
-    ctes.append(f"{name} AS (SELECT d.nr, s.shard FROM {at} AS d JOIN (VALUES {shards}) AS s(at, shard) ON s.at = d.at)")
+    ctes.append(f"{name} AS (SELECT d.nr, s.shard FROM {at} AS d JOIN (VALUES {shards}) AS s(node, shard) ON s.node = d.node)")
     return ",\n".join(ctes)
 
 
+# checksum of the bytes of a text, as hexadecimal digits in ``hex``: the usual table, one byte after the other
+_CRC = """
+    bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+             FROM range(256) AS t(i)),
+    crc_table AS (SELECT list(c ORDER BY i) AS cs FROM bits),
+    summed AS (
+        SELECT nr, xor(list_reduce(
+            list_prepend(4294967295, list_transform(range(len(hex) // 2), lambda i: ('0x' || hex[2 * i + 1:2 * i + 2])::BIGINT)),
+            lambda c, b: xor(c >> 8, cs[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+        FROM docs, crc_table
+    )"""
+
+
+def sharding_sql(shards: int = 40) -> str:
+    """Slots follow ids here: the query numbers by parts, of which tables of this size have one."""
+    return f"""
+WITH
+    docs AS (
+        SELECT row_number() OVER () AS nr, doc_id, coalesce(doc_id::VARCHAR, '') AS key, strlen(coalesce(text, '')) + 16 AS size,
+            hex(encode(coalesce(text, ''))) AS hex
+        FROM documents
+    ),
+    {_CRC},
+    {_place_sql(layout(shards), "now")},
+    {_place_sql(layout(shards + 1), "grown")}
+SELECT d.doc_id, d.size::BIGINT AS size, s.text_crc32, 'key' AS law, n.shard,
+    row_number() OVER (PARTITION BY n.shard ORDER BY d.doc_id NULLS FIRST, s.text_crc32, d.size) - 1 AS slot, g.shard AS grown_shard
+FROM docs AS d JOIN summed AS s USING (nr) JOIN now AS n USING (nr) JOIN grown AS g USING (nr)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op6_sharding": sharding_sql(),
     "op2_url_filter": url_filter_sql(),
     "op3_near_dedup": near_dedup_sql(),
     "op7_embedding_dedup": embedding_dedup_sql(),

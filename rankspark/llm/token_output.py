@@ -16,11 +16,13 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from rankspark.llm.common import Memo, many_small_objects, per_worker, pick
+from rankspark.llm.common import many_small_objects, per_worker, pick
 from rankspark.session import cut
 
 
@@ -46,43 +48,81 @@ class TokenConfig:
     sample_texts: int = 1000
     sample_bytes: int = 20_000
     segment_bytes: int = 4 << 20
-    rows_per_task: int = 20_000
+    rows_per_task: int = 10_000
 
 
 class WordTokenizer:
-    """The library's encoder, asked once per word.
+    """The library's encoder, asked once per distinct word.
 
     For a tokenizer whose normaliser maps white space to a space and whose pre-tokenizer
     drops it, a text's ids are those of its parts between spaces and line feeds, one after
-    the other. Tokenizers of another kind get whole texts.
+    the other. Arrow splits the texts and numbers the distinct parts, the library encodes
+    those not met before, and the ids are gathered by number. Tokenizers of another kind get whole texts.
     """
 
-    _LINE = re.compile("[ \n]+")
+    # a word of letters that have no other form, then punctuation without apostrophes: one or two
+    # pre-tokens; and none that an added token could stand in
+    _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-;=?-@\[-`{}~]*)")
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, remembered: int = 700_000) -> None:
         self.library = Tokenizer.from_str(definition)
-        self.by_word = drops_white_space(json.loads(definition))
-        self.words = Memo(lambda word: b"", 600_000)
-
-    def _learn(self, words: list[str]) -> None:
-        encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
-        for word, e in zip(words, encoded, strict=True):
-            self.words[word] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parsed = json.loads(definition)
+        self.by_word = drops_white_space(parsed)
+        suffix = parsed["model"].get("end_of_word_suffix") or ""
+        ends = [i for token, i in parsed["model"]["vocab"].items() if suffix and token.endswith(suffix)]
+        self.ends_word = np.zeros(max(parsed["model"]["vocab"].values(), default=0) + 1, dtype=bool)
+        self.ends_word[ends] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.remembered = remembered
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not new:
+            return found
+        learned = self._learn(new)
+        if len(self.words) + len(learned) > self.remembered:
+            self.words = {"": b""}
+        self.words.update(learned)
+        return [learned[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new words. Plain ones go to the library as one text, whose ids are dealt out by ends of pre-tokens."""
+        matches = list(map(self._PLAIN.fullmatch, new)) if self.ends_word.any() else [None] * len(new)
+        plain = [w for w, m in zip(new, matches, strict=True) if m]
+        learned: dict[str, bytes] = {}
+        if plain:
+            (encoded,) = self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            last = np.cumsum([1 + bool(m[1]) for m in matches if m]) - 1
+            if len(ends) == last[-1] + 1 and ends[-1] == len(ids):
+                raw, stops = ids.tobytes(), (4 * ends[last]).tolist()
+                learned = {w: raw[a:b] for w, a, b in zip(plain, [0, *stops], stops)}
+        rest = [w for w in new if w not in learned]
+        learned.update(zip(rest, self._encode(rest), strict=True))
+        return learned
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow column; null is the empty text."""
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            encoded = self.library.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
-        if len(self.words) > self.words.limit:
-            self.words.clear()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(self.words)
-        new.discard("")
-        if new:
-            self._learn(list(new))
-        get = self.words.get
-        return [b"".join([get(w, b"") for w in p]) for p in parts]
+            return [np.frombuffer(x, dtype=np.uint32) for x in self._encode(texts.to_pylist())]
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        numbered = parts.flatten().dictionary_encode()
+        of_word = self._of_words(numbered.dictionary.to_pylist())
+        length = np.fromiter(map(len, of_word), dtype=np.int64, count=len(of_word)) // 4
+        pool, first = np.frombuffer(b"".join(of_word), dtype=np.uint32), np.cumsum(length) - length
+        word = numbered.indices.to_numpy()
+        n = length[word]
+        ends = np.cumsum(n)
+        at = np.repeat(first[word] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        bounds = np.concatenate(([0], ends))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return np.split(pool[at], bounds[1:-1])
 
 
 def drops_white_space(definition: dict) -> bool:
@@ -116,8 +156,8 @@ def load_definition(path: str) -> str:
         return f.read()
 
 
-def _end(cfg: TokenConfig) -> bytes:
-    return np.asarray([cfg.end_id], dtype="<u4").tobytes()
+def _end(cfg: TokenConfig) -> np.ndarray:
+    return np.asarray([cfg.end_id], dtype="<u4")
 
 
 def train_dictionary(texts: DataFrame, definition: str, cfg: TokenConfig) -> bytes:
@@ -131,7 +171,7 @@ def train_dictionary(texts: DataFrame, definition: str, cfg: TokenConfig) -> byt
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer(shared.value), _end(cfg)
         for batch in batches:
-            ids = [x + end for x in encode(batch.column("text").to_pylist())]
+            ids = [np.append(x, end).tobytes() for x in encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     shared = texts.sparkSession.sparkContext.broadcast(definition)
@@ -194,13 +234,13 @@ def write_tokens(
             if arrow is None:
                 entry = pa.struct([("candidate_id", batch.schema.field("candidate_id").type), ("offset", pa.int64()), ("length", pa.int64()), ("n_tokens", pa.int64())])
                 arrow = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("dictionary_hash", pa.string()), ("frames", pa.binary()), ("index", pa.list_(entry))])
-            for at in range(0, batch.num_rows, 64):
-                few = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 512):
+                few = batch.slice(at, 512)
                 with many_small_objects():
-                    found = encode([x.as_py() or "" for x in few.column("text")])
+                    found = encode(few.column("text"))
                 for name, ids in zip(few.column("candidate_id").to_pylist(), found, strict=True):
-                    frame = press.compress(ids + end)
-                    index.append({"candidate_id": name, "offset": size, "length": len(frame), "n_tokens": len(ids) // 4 + 1})
+                    frame = press.compress(np.append(ids, end).astype("<u4").tobytes())
+                    index.append({"candidate_id": name, "offset": size, "length": len(frame), "n_tokens": len(ids) + 1})
                     frames.append(frame)
                     size += len(frame)
                     if size >= cfg.segment_bytes:
