@@ -37,8 +37,8 @@ class ToxicityConfig:
     features: int = 20_000
     rounds: int = 150
     rate: float = 0.15
-    least_signal: float = 5.0
-    shrink: float = 2e-6
+    least_signal: float = 8.0
+    shrink: float = 1e-5
     threshold: float = 0.5
 
     def __post_init__(self) -> None:
@@ -89,11 +89,13 @@ def train(bags: list[list[np.ndarray]], labels: np.ndarray, positive_share: floa
     n1 = np.bincount(owner[toxic], minlength=len(names))
     n0 = np.bincount(owner[~toxic], minlength=len(names))
     total1, total0 = labels.sum(), len(labels) - labels.sum()
-    a, b = (n1 + 0.5) / (total1 + 1), (n0 + 0.5) / (total0 + 1)
-    signal = np.abs(np.log(a / b)) / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+    share = (n1 + n0) / (total1 + total0)
+    signal = np.abs(n1 / total1 - n0 / total0) / np.sqrt(share * (1 - share) * (1 / total1 + 1 / total0) + 1e-12)
     signal[n0 + n1 < cfg.least_texts] = 0
     order = np.argsort(-signal, kind="stable")[: cfg.features]
-    chosen = order[signal[order] > cfg.least_signal]
+    # standard deviations that rule out chance and copies of one text, fewer where there are few texts
+    least = max(3.0, cfg.least_signal * min(1.0, (len(labels) / 3000) ** 0.5))
+    chosen = order[signal[order] > least]
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[slot] >= 0
