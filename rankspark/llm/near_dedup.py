@@ -117,17 +117,21 @@ def _sets(texts: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     return texts.mapInArrow(run, "digest binary, found array<bigint>")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, cfg: NearDedupConfig) -> DataFrame:
-    """``a, b, far, linked`` for pairs of vertices, measured on the full sets of both."""
+def _member_sets(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """``v, found``: full sets of all vertices that stand in a pair, made from their whole texts."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     needed = cut(vertices.join(ends, "v", "left_semi").select("v", "digest", F.col("candidate_id").alias("rep")))
-    texts = texts.alias("t").join(needed.select("rep").distinct(), F.col("candidate_id").eqNullSafe(F.col("rep")), "left_semi")
-    found = cut(_sets(texts, cfg).join(needed.select("digest", "v"), "digest").select("v", "found"))
-    one = found.select(F.col("v").alias("a"), F.col("found").alias("set_a"))
-    two = found.select(F.col("v").alias("b"), F.col("found").alias("set_b"))
-    size_a, size_b = F.size("set_a"), F.size("set_b")
+    same = F.col("candidate_id").eqNullSafe(F.col("rep"))
+    texts = texts.join(needed.select("rep").distinct(), same, "left_semi")
+    return cut(_sets(texts, cfg).join(needed.select("digest", "v"), "digest").select("v", "found"))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """``a, b, far, linked`` for pairs of vertices, measured on the full sets of both."""
+    one = sets.select(F.col("v").alias("a"), F.col("found").alias("set_a"))
+    two = sets.select(F.col("v").alias("b"), F.col("found").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
-    either = size_a + size_b - both
+    either = F.size("set_a") + F.size("set_b") - both
     measured = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), either.alias("either"))
     return cut(
         measured.distinct().select(
@@ -173,23 +177,41 @@ def near_duplicates(
 
     components = None
     if not is_empty(pairs):
-        first = _confirm(pairs, texts, vertices, cfg)
+        sets = _member_sets(pairs, texts, vertices, cfg)
+        first = _confirm(pairs, sets, cfg)
         links = first.where("linked").select("a", "b")
         components = connected(links)
-        rest = _rest(members, first, components, cfg)
+        rest = _rest(members, first, components, sets, cfg)
         if not is_empty(rest):
-            more = _confirm(rest, texts, vertices, cfg).where("linked").select("a", "b")
+            more = _confirm(rest, sets, cfg).where("linked").select("a", "b")
             if not is_empty(more):
                 components = connected(links.unionByName(more))
     return _result(signed, vertices, components)
 
 
-def _rest(members: DataFrame, measured: DataFrame, components: DataFrame, cfg: NearDedupConfig) -> DataFrame:
-    """Pairs of a bucket that no component joins yet and that the distances to the hub do not rule out."""
+def _shareable(sets: DataFrame) -> DataFrame:
+    """``v, size, free``: the size of a set, and how many of its shingles another of these sets has, too."""
+    each = sets.select("v", F.explode("found").alias("x")).distinct()
+    shared = each.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
+    free = each.join(shared, "x", "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("free"))
+    sizes = sets.select("v", F.size("found").cast("bigint").alias("size")).distinct()
+    return sizes.join(free, "v", "left").withColumn("free", F.coalesce("free", F.lit(0)))
+
+
+def _rest(
+    members: DataFrame, measured: DataFrame, components: DataFrame, sets: DataFrame, cfg: NearDedupConfig
+) -> DataFrame:
+    """Pairs of a bucket that no component joins yet and that no bound rules out.
+
+    Two bounds leave out nothing that could be linked. The distances of two members to
+    their hub differ by no more than their own distance. And two sets have in common at
+    most what each of them shares with any set at all: a copy with many changes of its own
+    drops out by itself, before it meets anyone.
+    """
     label = components.select("v", "root")
     hubs = components.select(F.col("v").alias("hub"), F.col("root").alias("hub_root"))
     far = measured.select(F.col("a").alias("hub"), F.col("b").alias("v"), "far")
-    placed = (
+    placed = cut(
         members.join(label, "v", "left")
         .join(hubs, "hub", "left")
         .join(far, ["hub", "v"], "left")
@@ -201,14 +223,21 @@ def _rest(members: DataFrame, measured: DataFrame, components: DataFrame, cfg: N
             F.coalesce("far", F.lit(0.0)).alias("far"),
         )
     )
-    placed = cut(placed)
+    open_buckets = placed.where("root <> hub_root").select("bucket").distinct()
+    placed = placed.join(open_buckets, "bucket", "left_semi")
+    present = placed.select("v").distinct()
+    bound = _shareable(sets.join(present, "v", "left_semi"))
+    bound = cut(bound.where(100 * F.col("free") >= cfg.percent * F.col("size")))
+    placed = cut(placed.join(bound, "v"))
     outside = placed.where("root <> hub_root")
-    other = placed.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("v", "root", "far")])
+    other = placed.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("v", "root", "far", "size", "free")])
     limit = 1 - cfg.percent / 100 + 1e-9
+    common = F.least("free", "free_2", "size", "size_2")
     # against members of the hub's component in any order, among the others each pair once
     wanted = (
         (F.col("root") != F.col("root_2"))
         & (F.abs(F.col("far") - F.col("far_2")) <= limit)
+        & ((100 + cfg.percent) * common >= cfg.percent * (F.col("size") + F.col("size_2")))
         & ((F.col("root_2") == F.col("hub_root")) | (F.col("v") < F.col("v_2")))
     )
     found = (
