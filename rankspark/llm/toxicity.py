@@ -9,6 +9,7 @@ the noisy-or, so the model finds out which sentences are to blame, and names the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -73,49 +74,62 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def train(bags: list[list[np.ndarray]], labels: np.ndarray, positive_share: float, cfg: ToxicityConfig) -> ToxicityModel:
-    """Fit on bags of sentences, each an array of feature hashes; Adam on the weighted log-likelihood of the bags."""
-    sample_share = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < sample_share < 1:
-        return ToxicityModel(cfg, {}, -30.0 if sample_share == 0 else 30.0)
-    lengths = [len(s) for bag in bags for s in bag]
-    flat = np.concatenate([s for bag in bags for s in bag])
-    sentence = np.repeat(np.arange(len(lengths)), lengths)
-    bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    names, slot = np.unique(flat, return_inverse=True)
-    # texts of either label that have a feature: those that tell the labels apart are learned
-    pairs = np.unique(slot.astype(np.int64) * len(bags) + bag_of[sentence])
-    owner, toxic = pairs // len(bags), labels[pairs % len(bags)] > 0
-    n1 = np.bincount(owner[toxic], minlength=len(names))
-    n0 = np.bincount(owner[~toxic], minlength=len(names))
-    total1, total0 = labels.sum(), len(labels) - labels.sum()
-    share = (n1 + n0) / (total1 + total0)
-    signal = np.abs(n1 / total1 - n0 / total0) / np.sqrt(share * (1 - share) * (1 / total1 + 1 / total0) + 1e-12)
-    signal[n0 + n1 < cfg.least_texts] = 0
-    order = np.argsort(-signal, kind="stable")[: cfg.features]
-    # standard deviations that rule out chance and copies of one text, fewer where there are few texts
-    least = max(3.0, cfg.least_signal * min(1.0, (len(labels) / 3000) ** 0.5))
-    chosen = order[signal[order] > least]
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[slot] >= 0
-    column, row = place[slot[keep]], sentence[keep]
+def train(bags: list[list[list[int]]], plain: np.ndarray, labels: np.ndarray, n_features: int, positive_share: float, cfg: ToxicityConfig) -> tuple[np.ndarray, float]:
+    """Weights and bias for bags of sentences, by Adam on the weighted log-likelihood of the bags.
+
+    ``bags`` holds the sentences with features, as numbers below ``n_features``, and
+    ``plain`` counts the other sentences of each bag, which differ in nothing.
+    """
+    sample_share = float(labels.mean())
+    sentences_ = [s for bag in bags for s in bag]
+    bag_of = np.concatenate((np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.arange(len(bags)))).astype(np.int64)
+    times = np.concatenate((np.ones(len(sentences_)), plain))
+    row = np.repeat(np.arange(len(sentences_)), [len(s) for s in sentences_]).astype(np.int64)
+    column = np.array([f for s in sentences_ for f in s], dtype=np.int64)
 
     weight_of = np.where(labels > 0, positive_share / sample_share, (1 - positive_share) / (1 - sample_share))
-    w, bias = np.zeros(len(chosen)), -5.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    w, bias = np.zeros(n_features), -5.0
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, cfg.rounds + 1):
-        z = bias + np.bincount(row, weights=w[column], minlength=len(lengths))
-        none = np.bincount(bag_of, weights=_softplus(z), minlength=len(bags))  # -log of "no sentence is toxic"
+        z = bias + np.bincount(row, weights=w[column], minlength=len(times))
+        none = np.bincount(bag_of, weights=times * _softplus(z), minlength=len(bags))  # -log of "no sentence is toxic"
         p_sentence = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         some = np.maximum(-np.expm1(-none), 1e-12)
         per_bag = np.where(labels > 0, -np.exp(-none) / some, 1.0) * weight_of
-        g_z = p_sentence * per_bag[bag_of] / len(bags)
-        g = np.append(np.bincount(column, weights=g_z[row], minlength=len(chosen)) + cfg.shrink * w, g_z.sum())
+        g_z = times * p_sentence * per_bag[bag_of] / len(bags)
+        g = np.append(np.bincount(column, weights=g_z[row], minlength=n_features) + cfg.shrink * w, g_z.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = cfg.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
-    return ToxicityModel(cfg, dict(zip(names[chosen].tolist(), w.tolist(), strict=True)), float(bias))
+    return w, float(bias)
+
+
+def _telling_features(sample: DataFrame, n_texts: dict[int, int], cfg: ToxicityConfig) -> list[int]:
+    """Features whose share of texts differs between the labels by more than chance, the best first."""
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(lambda word: features_of(word, cfg), 200_000)
+        for batch in batches:
+            found: tuple[Counter, Counter] = Counter(), Counter()
+            for toxic, x in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
+                words = set().union(*(w for _, _, w in sentences(x.as_py())))
+                found[toxic].update({f for word in words for f in memo[word]})
+            names = list(found[0].keys() | found[1].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), *[pa.array([c[f] for f in names], pa.int64()) for c in found]], names=["f", "n0", "n1"]
+            )
+
+    per_feature = sample.mapInArrow(counted, "f bigint, n0 bigint, n1 bigint").groupBy("f").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")
+    )
+    total0, total1 = float(n_texts[0]), float(n_texts[1])
+    share = (F.col("n0") + F.col("n1")) / (total0 + total1)
+    spread = F.sqrt(share * (1 - share) * (1 / total0 + 1 / total1) + 1e-12)
+    # standard deviations that rule out chance and copies of one text, fewer where there are few texts
+    least = max(3.0, cfg.least_signal * min(1.0, ((total0 + total1) / 3000) ** 0.5))
+    signal = F.abs(F.col("n1") / total1 - F.col("n0") / total0) / spread
+    telling = per_feature.where(F.col("n0") + F.col("n1") >= cfg.least_texts).withColumn("signal", signal).where(F.col("signal") > least)
+    return [r["f"] for r in telling.orderBy(F.desc("signal"), "f").limit(cfg.features).collect()]
 
 
 def fit(
@@ -137,7 +151,7 @@ def fit(
         pick(labels, candidate_id=candidate_id, toxic=toxic)
         .where("candidate_id is not null and toxic is not null")
         .groupBy("candidate_id")
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .agg(F.max(F.when(F.col("toxic").cast("int") > 0, 1).otherwise(0)).alias("toxic"))
     )
     texts = pick(candidates, candidate_id=candidate_id, text=text).where("text is not null")
     short = texts.where(F.octet_length("text") <= cfg.train_bytes)
@@ -145,27 +159,32 @@ def fit(
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("candidate_id"), "candidate_id")
     present = known.join(short.select("candidate_id").distinct(), "candidate_id", "left_semi")
     chosen = cut(present.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cfg.texts_per_label).drop("nth"))
+    sample = cut(short.join(chosen, "candidate_id").select("candidate_id", "toxic", "text"))
+    n_texts = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n_texts[0] or not n_texts[1]:
+        return ToxicityModel(cfg, {}, 30.0 if n_texts[1] else -30.0)
+
+    telling = _telling_features(sample, n_texts, cfg)
+    slot = {f: i for i, f in enumerate(telling)}
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda word: features_of(word, cfg), 200_000)
+        memo = Memo(lambda word: [slot[f] for f in features_of(word, cfg) if f in slot], 200_000)
         for batch in batches:
-            rows = []
+            rows, plain = [], []
             for x in batch.column("text"):
-                rows.append([[f for word in sorted(found) for f in memo[word]] for _, _, found in sentences(x.as_py())])
+                every = [[f for word in sorted(found) for f in memo[word]] for _, _, found in sentences(x.as_py())]
+                rows.append([s for s in every if s])
+                plain.append(len(every) - len(rows[-1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("candidate_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.list_(pa.int64())))],
-                names=["candidate_id", "toxic", "bag"],
+                [batch.column("toxic"), pa.array(plain, pa.int32()), pa.array(rows, pa.list_(pa.list_(pa.int32())))],
+                names=["toxic", "plain", "bag"],
             )
 
-    kind = texts.schema["candidate_id"].dataType.simpleString()
-    made = short.join(chosen, "candidate_id").select("candidate_id", "toxic", "text")
-    table = made.mapInArrow(bags, f"candidate_id {kind}, toxic int, bag array<array<bigint>>").toArrow()
-    bag_column, label_column = table.column("bag").combine_chunks(), table.column("toxic").to_numpy()
-    # the same order on every run
-    order_ = np.argsort(np.array([str(x) for x in table.column("candidate_id").to_pylist()]), kind="stable")
-    inner = [[np.asarray(s.values, dtype=np.int64) for s in bag_column[int(i)].values] if len(bag_column[int(i)].values) else [] for i in order_]
+    made = sample.orderBy("candidate_id", "text").mapInArrow(bags, "toxic int, plain int, bag array<array<int>>").toArrow()
+    known_labels = made.column("toxic").to_numpy()
     total = sum(shares.values())
-    return train(inner, label_column[order_], shares.get(1, 0) / total if total else 0.0, cfg)
+    w, bias = train(made.column("bag").to_pylist(), made.column("plain").to_numpy(), known_labels, len(telling), shares.get(1, 0) / total, cfg)
+    return ToxicityModel(cfg, dict(zip(telling, w.tolist(), strict=True)), bias)
 
 
 class Scorer:
