@@ -14,8 +14,9 @@ class RankConfig:
     top_n: int = 100
     top_tier_until: int = 20
     mid_tier_until: int = 80
-    # round similarity and score to this many digits before sorting; None keeps them as they are
-    score_digits: int | None = None
+    # similarity and score are rounded to this many digits before sorting: the last bits of a matrix
+    # product depend on the shape of its batch, and ties by id must not
+    score_digits: int = 9
 
     # drop rules
     overlap_ratio: float = 1.5
@@ -36,19 +37,18 @@ class RankConfig:
     notice_step_loss: float = 0.15
 
     # text and reasoning
-    encoder_chars: int = 2000
     max_reason_chars: int = 240
     skills_named: int = 3
     denied_skills: tuple[str, ...] = fixed.DENIED_SKILLS
 
-    # a side of a join is broadcast only up to this many rows; beyond it Spark picks the join
-    broadcast_rows: int = 500_000
     # rows of running best matches that one task may hold; more queries mean more passes
     recall_state_rows: int = 1_000_000
-    # groups per job for the first step of merging the best matches of all tasks
-    merge_salts: int = 16
+    # results of so many tasks make a group in the first step of merging the best matches of a job
+    tasks_per_merge: int = 50
+    # from so many tasks on, a first pass over a share of the candidates bounds the scores that can win
+    bound_from_tasks: int = 64
 
     def __post_init__(self) -> None:
-        for name in ("recall_k", "top_n", "encoder_chars", "max_reason_chars", "merge_salts"):
+        for name in ("recall_k", "top_n", "max_reason_chars", "tasks_per_merge", "score_digits"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive, got {getattr(self, name)}")

@@ -46,6 +46,29 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+def model_name(make_encoder: Callable[[], Encoder]) -> str:
+    """The name an encoder gives itself, or that of its class."""
+    encoder = make_encoder()
+    return getattr(encoder, "name", None) or type(encoder).__name__
+
+
+def encode_whole(encoder: Encoder, texts: list[str]) -> np.ndarray:
+    """Vectors of whole texts.
+
+    An encoder with a limited input names it as ``max_chars``. Longer texts are then cut into
+    pieces of that length, all of them are encoded, and their vectors are added up with
+    their lengths as weights.
+    """
+    most = getattr(encoder, "max_chars", None)
+    if not most or all(len(t) <= most for t in texts):
+        return np.asarray(encoder(texts), dtype=np.float64)
+    pieces = [[t[at : at + most] for at in range(0, max(1, len(t)), most)] for t in texts]
+    rows = np.asarray(encoder([p for few in pieces for p in few]), dtype=np.float64)
+    weight = np.array([max(1, len(p)) for few in pieces for p in few], dtype=np.float64)
+    first = np.cumsum([0, *[len(few) for few in pieces[:-1]]])
+    return np.add.reduceat(rows * weight[:, None], first, axis=0) / np.add.reduceat(weight, first)[:, None]
+
+
 class HashedTokens:
     """Built-in encoder: counts of hashed tokens over the whole text.
 
@@ -93,7 +116,7 @@ def encode(
             texts = part.fillna("").tolist()
             rows: list[np.ndarray] = []
             for at in range(0, len(texts), batch):
-                m = np.asarray(encoder(texts[at : at + batch]), dtype=np.float64)
+                m = encode_whole(encoder, texts[at : at + batch])
                 rows.extend((unit_rows(m) if normalize else m).astype(np.float32))
             yield pd.Series(rows, index=part.index, dtype=object)
 

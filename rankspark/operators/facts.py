@@ -105,12 +105,11 @@ def skill_flags(skills: DataFrame, cfg: RankConfig) -> DataFrame:
 
 def of_all(cand: DataFrame, roles: DataFrame, signals: DataFrame, skills: DataFrame, cfg: RankConfig) -> DataFrame:
     """Facts of all candidates of the tables."""
-    return from_tables(cand.select("candidate_id"), cfg.broadcast_rows + 1, cand, roles, signals, skills, cfg)
+    return _joined(cand, roles, signals, skills, cfg)
 
 
 def from_tables(
     ids: DataFrame,
-    rows: int,
     cand: DataFrame,
     roles: DataFrame,
     signals: DataFrame,
@@ -119,17 +118,18 @@ def from_tables(
 ) -> DataFrame:
     """Facts of the given ids from separate tables.
 
-    ``ids`` holds at most ``rows`` ids; repeats do no harm. The large tables are
-    first narrowed to these ids by broadcast, then aggregated per candidate with
-    partial sums, so that a candidate with very many rows does not load one task.
+    Repeated ids do no harm. The large tables are first narrowed to these ids, then
+    aggregated per candidate with partial sums, so that a candidate with very many rows does
+    not load one task.
     """
-    figures = career_figures(narrow(roles, ids, rows, "candidate_id", cfg), cfg)
-    flags = skill_flags(narrow(skills, ids, rows, "candidate_id", cfg), cfg)
-    base = narrow(cand, ids, rows, "candidate_id", cfg)
-    sig = narrow(signals, ids, rows, "candidate_id", cfg)
+    return _joined(*[narrow(t, ids, "candidate_id") for t in (cand, roles, signals, skills)], cfg)
+
+
+def _joined(cand: DataFrame, roles: DataFrame, signals: DataFrame, skills: DataFrame, cfg: RankConfig) -> DataFrame:
+    figures, flags = career_figures(roles, cfg), skill_flags(skills, cfg)
     return (
-        base.join(figures, "candidate_id", "left")
-        .join(sig, "candidate_id", "left")
+        cand.join(figures, "candidate_id", "left")
+        .join(signals, "candidate_id", "left")
         .join(flags, "candidate_id", "left")
         .select(
             "candidate_id",

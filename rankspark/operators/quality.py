@@ -6,12 +6,14 @@ reasoning``; rank and score may be text as read from a file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankspark import constants as fixed
 from rankspark.config import RankConfig
 from rankspark.functions import career, text
-from rankspark.session import narrow
+from rankspark.session import cut, narrow
+from rankspark.sources import ranked_csv
 
 ERROR_COLUMNS = ("check", "job_id", "row_no", "candidate_id", "detail")
 _SLACK = 1e-9
@@ -98,14 +100,14 @@ def reasoning_present(ranked: DataFrame) -> DataFrame:
     return _errors(ranked.where(blank), "reasoning_present", F.lit("no reasoning"))
 
 
-def known_ids(ranked: DataFrame, candidates: DataFrame, rows: int, cfg: RankConfig) -> DataFrame:
+def known_ids(ranked: DataFrame, candidates: DataFrame) -> DataFrame:
     """Ids of the records, narrowed to those of the ranked rows."""
-    return narrow(candidates.select("candidate_id"), ranked.select("candidate_id"), rows, "candidate_id", cfg)
+    return narrow(candidates.select("candidate_id"), ranked, "candidate_id")
 
 
-def existence(ranked: DataFrame, candidates: DataFrame, rows: int, cfg: RankConfig) -> DataFrame:
+def existence(ranked: DataFrame, candidates: DataFrame) -> DataFrame:
     """Ids that no record has."""
-    known = known_ids(ranked, candidates, rows, cfg)
+    known = known_ids(ranked, candidates)
     return _errors(ranked.join(known, "candidate_id", "left_anti"), "existence", F.lit("id not found"))
 
 
@@ -145,21 +147,29 @@ def loose_digits(ranked: DataFrame, tokens: DataFrame) -> DataFrame:
     return sentence_digits(ranked).join(tokens, ["candidate_id", "token"], "left_anti")
 
 
+def named_skills(ranked: DataFrame, skills: DataFrame) -> DataFrame:
+    """Skills named for a row that its record does not hold, in any case."""
+    named = ranked.select("job_id", "row_no", "candidate_id", F.explode("named_skills").alias("skill"))
+    named = named.withColumn("skill_lower", F.lower(text.strip(F.col("skill"))))
+    held = narrow(skills, ranked, "candidate_id").select("candidate_id", F.lower(text.strip(F.col("skill"))).alias("skill_lower"))
+    alien = named.join(held, ["candidate_id", "skill_lower"], "left_anti")
+    return _errors(alien, "named_skills", F.concat(F.lit("skill not in the record: "), F.col("skill")))
+
+
 def grounded(
-    ranked: DataFrame, candidates: DataFrame, facts: DataFrame, skills: DataFrame, rows: int, cfg: RankConfig
+    ranked: DataFrame, candidates: DataFrame, facts: DataFrame, skills: DataFrame
 ) -> DataFrame:
     """Sentences with an open placeholder or a number from nowhere, for ids that have a record.
 
     ``facts`` need to cover the ranked ids only.
     """
-    ids_ = ranked.select("candidate_id")
-    tokens = record_digits(facts).unionByName(skill_digits(narrow(skills, ids_, rows, "candidate_id", cfg)))
+    tokens = record_digits(facts).unionByName(skill_digits(narrow(skills, ranked, "candidate_id")))
     loose = loose_digits(ranked, tokens).select("job_id", "row_no", "candidate_id")
     braces = ranked.where(F.contains("reasoning", F.lit("{")) | F.contains("reasoning", F.lit("}"))).select(
         "job_id", "row_no", "candidate_id"
     )
     bad = loose.unionByName(braces).distinct()
-    known = known_ids(ranked, candidates, rows, cfg)
+    known = known_ids(ranked, candidates)
     return _errors(bad.join(known, "candidate_id", "left_semi"), "grounded", F.lit("not grounded"))
 
 
@@ -169,19 +179,24 @@ def report(
     candidates: DataFrame,
     facts: DataFrame,
     skills: DataFrame,
-    rows: int,
     cfg: RankConfig,
 ) -> DataFrame:
-    """All errors of all checks as one table; empty means that the output passes."""
+    """All errors of all checks as one table; empty means that the output passes.
+
+    Rows as read from a file bring ``_corrupt`` and are checked for their fields; rows that
+    still have their ``named_skills`` are checked for these.
+    """
     parts = [
+        *([columns(ranked)] if "_corrupt" in ranked.columns else []),
+        *([named_skills(ranked, skills)] if "named_skills" in ranked.columns else []),
         row_count(ranked, jobs, cfg),
         ids(ranked),
         contiguous(ranked),
         score_bounds(ranked),
         monotonic(ranked),
         reasoning_present(ranked),
-        existence(ranked, candidates, rows, cfg),
-        grounded(ranked, candidates, facts, skills, rows, cfg),
+        existence(ranked, candidates),
+        grounded(ranked, candidates, facts, skills),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -189,6 +204,26 @@ def report(
     return out
 
 
+def validate_file(
+    spark: SparkSession,
+    path: str,
+    job_id: int,
+    candidates: DataFrame,
+    facts: DataFrame,
+    skills: DataFrame,
+    cfg: RankConfig,
+) -> DataFrame:
+    """All errors of one ranked CSV file of a job: header, fields and every check on its rows."""
+    message = header(ranked_csv.header_of(spark, path), fixed.OUTPUT_COLUMNS)
+    rows = cut(ranked_csv.read_raw(spark, path).withColumn("job_id", F.lit(job_id).cast("bigint")))
+    jobs = spark.createDataFrame([(job_id,)], "job_id bigint")
+    errors = report(rows, jobs, candidates, facts, skills, cfg)
+    if message is None:
+        return errors
+    first = spark.createDataFrame([("header", job_id, None, None, message)], errors.schema)
+    return first.unionByName(errors)
+
+
 def verdict(errors: DataFrame, show: int = 50) -> tuple[bool, int, list[str]]:
     """Pass or fail, number of errors, and the first of them as text."""
     n = errors.count()

@@ -138,8 +138,8 @@ def closed(body: Column) -> Column:
 def with_sentence(ranked: DataFrame, cfg: RankConfig) -> DataFrame:
     """Add ``reasoning``: the richest sentence that fits, is grounded and says something specific.
 
-    A row without one gets a general phrase chosen by its id, cut to the limit
-    before the full stop. Helper columns ``concern, allowed, general, is_general,
+    A row without one gets a general phrase chosen by its id, or the first one that fits if
+    that is too long. Helper columns ``concern, allowed, general, is_general,
     title_text`` stay for the step that makes sentences unique.
     """
     limit = cfg.max_reason_chars
@@ -149,10 +149,10 @@ def with_sentence(ranked: DataFrame, cfg: RankConfig) -> DataFrame:
     def fits(c: Column) -> Column:
         return (F.length(c) <= limit) & is_grounded(c, F.col("allowed")) & is_specific(c)
 
-    general = F.col("general")
-    short = F.when(F.length(general) <= limit, general).otherwise(
-        F.concat(text.strip_right(F.substring(general, 1, limit - 1)), F.lit("."))
-    )
+    # never cut: a phrase that is too long with its concern gives way to the first one that fits
+    fitting = F.filter(F.transform(phrases, closed), lambda s: F.length(s) <= limit)
+    none = F.raise_error(F.lit(f"no general phrase fits into {limit} characters"))
+    short = F.when(F.length("general") <= limit, F.col("general")).otherwise(F.coalesce(F.get(fitting, F.lit(0)), none))
     texts = [f"{name}_text" for name in SLOTS]
     return (
         with_slots(ranked, cfg)

@@ -30,6 +30,10 @@ class DuplicateJob(ValueError):
     """Two jobs share an id."""
 
 
+class MissingVector(ValueError):
+    """A job has no vector, so it would be missing from the result."""
+
+
 def query_blocks(queries: DataFrame, cfg: RankConfig) -> Iterator[tuple[list, np.ndarray]]:
     """Job vectors in blocks small enough for one task, as (ids, matrix of unit rows)."""
     size = max(1, cfg.recall_state_rows // cfg.recall_k)
@@ -38,12 +42,15 @@ def query_blocks(queries: DataFrame, cfg: RankConfig) -> Iterator[tuple[list, np
     if len(first) <= size:
         parts = [first]
     else:
+        slim = cut(slim)  # or every block would make the job vectors again
         n = -(-2 * slim.count() // size)
         parts = (slim.where(F.pmod(F.xxhash64("job_id"), F.lit(n)) == b).collect() for b in range(n))
     for rows in parts:
         if len({r["job_id"] for r in rows}) < len(rows):
             raise DuplicateJob("job ids must be unique")
-        rows = sorted((r for r in rows if r["job_vec"] is not None), key=lambda r: r["job_id"])
+        if any(r["job_vec"] is None for r in rows):
+            raise MissingVector(f"jobs without a vector: {[r['job_id'] for r in rows if r['job_vec'] is None]}")
+        rows = sorted(rows, key=lambda r: r["job_id"])
         if rows:
             yield [r["job_id"] for r in rows], unit_rows(np.array([r["job_vec"] for r in rows]))
 
@@ -67,8 +74,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores, ids
 
 
-def similarities(batch: pa.RecordBatch, queries: np.ndarray, digits: int | None, cells: int = 4_000_000):
-    """Cosine of all rows of a batch with all queries, in slices of bounded size."""
+def similarities(batch: pa.RecordBatch, queries: np.ndarray, digits: int, cells: int = 4_000_000):
+    """Cosine of all rows of a batch with all queries, in slices of bounded size: their ids, still in Arrow, and scores."""
     dim = queries.shape[1]
     batch = batch.filter(pc.is_valid(batch.column(1)))
     step = max(1, cells // len(queries))
@@ -76,7 +83,7 @@ def similarities(batch: pa.RecordBatch, queries: np.ndarray, digits: int | None,
         part = batch.slice(at, step)
         m = unit_rows(matrix_of(part.column(1), dim))
         s = queries @ m.T
-        yield np.asarray(part.column(0).to_pylist(), dtype=object), s if digits is None else np.floor(s * 10.0**digits + 0.5) / 10.0**digits
+        yield part.column(0), np.floor(s * 10.0**digits + 0.5) / 10.0**digits
 
 
 def _candidate_vectors(vectors: DataFrame) -> DataFrame:
@@ -84,23 +91,32 @@ def _candidate_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("candidate_id", F.col("embedding").cast("array<float>"))
 
 
-def _local_best(vectors: DataFrame, shared: Broadcast, k: int, cfg: RankConfig) -> DataFrame:
-    """K best rows per job and task. ``shared`` holds job ids and their matrix."""
+def _local_best(vectors: DataFrame, shared: Broadcast, k: int, cfg: RankConfig, bounds: dict | None = None) -> DataFrame:
+    """K best rows per job and task. ``shared`` holds job ids and their matrix.
+
+    ``bounds`` has a score per job below which no row can be among the best K of all tasks.
+    """
+    bounds = bounds or {}
     digits = cfg.score_digits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         jobs, q = shared.value
         kept: list = [(np.empty(0), np.empty(0, dtype=object)) for _ in jobs]
-        floor = np.full(len(jobs), -np.inf)
+        floor = np.array([bounds.get(j, -np.inf) for j in jobs])
         for batch in batches:
             for ids, s in similarities(batch, q, digits):
                 hit = s >= floor[:, None]
+                winners = np.flatnonzero(hit.any(axis=0))
+                if not len(winners):
+                    continue
+                ids = np.asarray(ids.take(pa.array(winners)).to_pylist(), dtype=object)
+                s, hit = s[:, winners], hit[:, winners]
                 for j in np.flatnonzero(hit.any(axis=1)):
                     cols = np.flatnonzero(hit[j])
                     scores = np.concatenate((kept[j][0], s[j, cols]))
                     kept[j] = _best(scores, np.concatenate((kept[j][1], ids[cols])), k)
                     if len(kept[j][0]) == k:
-                        floor[j] = kept[j][0].min()
+                        floor[j] = max(floor[j], kept[j][0].min())
         for j, (scores, ids) in enumerate(kept):
             if len(scores):
                 yield pa.RecordBatch.from_arrays(
@@ -142,11 +158,13 @@ def top_matches(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> Data
     pass is finished and stored before the next block is fetched.
     """
     order = [F.desc("sem_score"), F.asc("candidate_id")]
+    tasks = vectors.rdd.getNumPartitions()
 
     def one_pass(block: tuple[list, np.ndarray]) -> tuple[DataFrame, Broadcast]:
         shared = vectors.sparkSession.sparkContext.broadcast(block)
-        rows = _local_best(vectors, shared, cfg.recall_k, cfg)
-        return best_per_job(rows, cfg.recall_k, order, cfg.merge_salts), shared
+        bounds = _bounds(vectors, shared, tasks, order, cfg)
+        rows = _local_best(vectors, shared, cfg.recall_k, cfg, bounds)
+        return best_per_job(rows, cfg.recall_k, order, -(-tasks // cfg.tasks_per_merge)), shared
 
     blocks = query_blocks(queries, cfg)
     first, second = next(blocks, None), next(blocks, None)
@@ -164,12 +182,25 @@ def top_matches(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> Data
     return reduce(DataFrame.unionByName, found)
 
 
+def _bounds(vectors: DataFrame, shared: Broadcast, tasks: int, order: list, cfg: RankConfig) -> dict:
+    """The K-th best score per job over a share of the candidates: a bound for the K-th best of all.
+
+    With few tasks their own K rows per job are few enough, and nothing is computed.
+    """
+    if tasks < cfg.bound_from_tasks:
+        return {}
+    share = vectors.where(F.pmod(F.xxhash64("candidate_id"), F.lit(64)) == 0)
+    best = best_per_job(_local_best(share, shared, cfg.recall_k, cfg), cfg.recall_k, order, -(-tasks // cfg.tasks_per_merge))
+    last = best.where(F.col("recall_rank") == cfg.recall_k).select("job_id", "sem_score")
+    return {r["job_id"]: r["sem_score"] for r in last.collect()}  # one number per job of the block
+
+
 def score_summary(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> DataFrame:
     """Per job: how many candidates were compared, and the lowest, highest and mean similarity."""
     sc = vectors.sparkSession.sparkContext
     schema = "job_id bigint, n bigint, low double, high double, total double"
 
-    def one_pass(block: tuple[list, np.ndarray]) -> DataFrame:
+    def one_pass(block: tuple[list, np.ndarray]) -> tuple[DataFrame, Broadcast]:
         shared = sc.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +219,14 @@ def score_summary(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> Da
                     names=["job_id", "n", "low", "high", "total"],
                 )
 
-        return _candidate_vectors(vectors).mapInArrow(run, schema)
+        return _candidate_vectors(vectors).mapInArrow(run, schema), shared
 
-    parts = [one_pass(block) for block in query_blocks(queries, cfg)]
+    # a block is finished before the next one is fetched: one set of job vectors is held at a time
+    parts = []
+    for block in query_blocks(queries, cfg):
+        made, shared = one_pass(block)
+        parts.append(cut(made))
+        shared.destroy()
     rows = reduce(DataFrame.unionByName, parts, vectors.sparkSession.createDataFrame([], schema))
     return rows.groupBy("job_id").agg(
         F.sum("n").alias("n_scored"),

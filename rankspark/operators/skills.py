@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankspark.config import RankConfig
 from rankspark.functions import text
-from rankspark.session import cut, narrow, small_side
+from rankspark.session import cut, narrow
 
 
 def is_match(skill_lower: Column, text_lower: Column, cfg: RankConfig) -> Column:
@@ -20,24 +20,25 @@ def matched_in(skills: Column, text_lower: Column, cfg: RankConfig) -> Column:
     return F.filter(skills, lambda s: is_match(F.lower(s), text_lower, cfg))
 
 
-def matched_rows(pairs: DataFrame, rows: int, jobs: DataFrame, skills: DataFrame, cfg: RankConfig) -> DataFrame:
+def matched_rows(pairs: DataFrame, jobs: DataFrame, skills: DataFrame, cfg: RankConfig) -> DataFrame:
     """``(job_id, candidate_id, skill, pos)`` for the given pairs of job and candidate.
 
-    The skills are narrowed to the candidates of the pairs first (at most ``rows``
-    pairs) and are not moved while these are few enough to be broadcast. Job texts
-    join last, on rows that are few by then; Spark picks that join by size.
+    The skills are narrowed to the candidates of the pairs first. Job texts meet distinct
+    skills per job only, each tested once, and the matches are joined back.
     """
     pairs = pairs.select("job_id", "candidate_id")
-    own = narrow(skills, pairs.select("candidate_id"), rows, "candidate_id", cfg)
-    return (
-        own.withColumn("skill", text.present(F.col("skill")))
-        .where(F.col("skill").isNotNull())
-        .withColumn("skill_lower", F.lower("skill"))
-        .join(small_side(pairs, rows, cfg), "candidate_id")
-        .join(jobs.select("job_id", F.lower("jd_text").alias("jd_lower")), "job_id")
+    own = narrow(skills, pairs, "candidate_id").withColumn("skill", text.present(F.col("skill")))
+    held = own.where(F.col("skill").isNotNull()).withColumn("skill_lower", F.lower("skill")).join(pairs, "candidate_id")
+    held = cut(held.select("job_id", "candidate_id", "skill", "skill_lower", "pos"))
+    texts = jobs.select("job_id", F.lower("jd_text").alias("jd_lower"))
+    named = (
+        held.select("job_id", "skill_lower")
+        .distinct()
+        .join(texts, "job_id")
         .where(is_match(F.col("skill_lower"), F.col("jd_lower"), cfg))
-        .select("job_id", "candidate_id", "skill", "pos")
+        .select("job_id", "skill_lower")
     )
+    return held.join(named, ["job_id", "skill_lower"]).select("job_id", "candidate_id", "skill", "pos")
 
 
 def named_skills(matched: DataFrame, cfg: RankConfig) -> DataFrame:

@@ -221,7 +221,7 @@ PARTS |= {
         ("tried",),
         f"""SELECT *, CASE WHEN {_FITS.format(t="t1")} THEN t1 WHEN {_FITS.format(t="t2")} THEN t2
                            WHEN length(general) <= 240 THEN general
-                           ELSE rtrim(substr(general, 1, 239)) || '.' END AS reasoning
+                           ELSE list_filter(list_transform({_GENERAL}, lambda p: {_tidy("p || concern || '.'")}), lambda s: length(s) <= 240)[1] END AS reasoning
             FROM tried""",
     ),
     "numbered": (
@@ -347,7 +347,7 @@ def _weights(key: str, text: str, source: str) -> str:
 
 # The same run over records made from documents: other vectors, facts and skills, the rest unchanged.
 FROM_RECORDS = {
-    "doc_weights": (("composed",), _weights("candidate_id", "substr(text, 1, 2000)", "composed")),
+    "doc_weights": (("composed",), _weights("candidate_id", "text", "composed")),
     "job_weights": (("jobs",), _weights("job_id", "jd_text", "jobs")),
     "scores": (
         ("doc_weights", "job_weights"),
@@ -405,11 +405,20 @@ oracle(
                             ELSE '{fixed.SAMPLE_JOB_TEXT}' END AS jd_text FROM jobs""",
     "jobs",
 )
+def _W(k: int) -> str:
+    """Weight of one bucket of a record's vector."""
+    value = f"(SELECT max(w.w) FROM doc_weights AS w WHERE w.candidate_id = composed.candidate_id AND w.bucket = {k})"
+    return f"{_r6(f'coalesce({value}, 0e0)')} AS w{k}"
+
+
 oracle(
     "features_roundtrip",
-    """SELECT candidate_id, sha256(substr(text, 1, 2000)) AS text_hash, 'hashed-tokens-384' AS model, 384 AS dim, 1e0 AS norm
+    f"""SELECT candidate_id, sha256(text) AS text_hash, 'hashed-tokens-384' AS model, 384 AS dim, 1e0 AS norm,
+              {_W(0)}, {_W(1)}, {_W(2)}, {_W(3)}
        FROM composed""",
     "composed",
+    "doc_weights",
+    instead=FROM_RECORDS,
 )
 oracle(
     "manifest_summary",
@@ -431,7 +440,7 @@ oracle(
 )
 
 # Text and records
-oracle("compose_text", "SELECT candidate_id, text, substr(text, 1, 2000) AS encoder_text FROM composed", "composed")
+oracle("compose_text", "SELECT candidate_id, text, sha256(text) AS text_hash FROM composed", "composed")
 oracle(
     "join_nonempty",
     """SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ', ') AS joined
@@ -505,6 +514,35 @@ oracle(
     "SELECT candidate_id, sem_score, recall_rank FROM recalled WHERE job_id = (SELECT min(job_id) FROM jobs)",
     "recalled",
 )
+_R9 = "floor(({x}) * 1e9 + 0.5e0) / 1e9"
+_ONE_JOB = {
+    "scores": (
+        ("vec", "jobvec"),
+        f"""SELECT job_id, candidate_id,
+                   {_R9.format(x="list_cosine_similarity(embedding::DOUBLE[], job_vec::DOUBLE[])")} AS sem_score
+            FROM vec CROSS JOIN jobvec WHERE job_id = 0""",
+    ),
+    "recalled": (
+        ("scores",),
+        "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY sem_score DESC, candidate_id) AS recall_rank FROM scores) r WHERE recall_rank <= 1000",
+    ),
+    "scored": (
+        ("marked",),
+        f"SELECT *, {_R9.format(x='sem_score * multiplier')} AS raw_score FROM marked WHERE drop_reason IS NULL",
+    ),
+    "best": (
+        ("scored",),
+        """SELECT *, CASE WHEN max(raw_score) OVER () > 0 THEN greatest(raw_score, 0e0) / max(raw_score) OVER () ELSE 0e0 END AS score
+           FROM (SELECT *, row_number() OVER (ORDER BY raw_score DESC, sem_score DESC, candidate_id) AS rank FROM scored) a
+           WHERE rank <= 100""",
+    ),
+}
+oracle(
+    "rank_one_job",
+    f"SELECT job_id, candidate_id, rank, {_r6('score')} AS score FROM best",
+    "best",
+    instead=_ONE_JOB,
+)
 oracle("recall_topk_multi", "SELECT job_id, candidate_id, sem_score, recall_rank FROM recalled", "recalled")
 oracle(
     "score_all_pairs",
@@ -632,7 +670,16 @@ oracle(
 )
 oracle("reason_by_tier", "SELECT job_id, candidate_id, tier, rich, plain FROM leads", "leads")
 oracle("concern_clause", "SELECT job_id, candidate_id, concern FROM leads", "leads")
-oracle("grounding_check", "SELECT job_id, candidate_id, true AS grounded, false AS planted_grounded FROM built", "built")
+_GROUNDED = (
+    "(NOT contains({t}, '{{') AND NOT contains({t}, '}}')"
+    " AND len(list_filter(regexp_extract_all({t}, '[0-9]+'), lambda d: NOT list_contains(allowed, d))) = 0)"
+)
+oracle(
+    "grounding_check",
+    f"""SELECT job_id, candidate_id, {_GROUNDED.format(t="reasoning")} AS grounded, {_GROUNDED.format(t="(reasoning || ' 99999')")} AS planted_grounded
+        FROM built""",
+    "built",
+)
 oracle("ungrounded_digits", "SELECT job_id, row_no, candidate_id, token FROM loose", "loose")
 _SPECIFIC = (
     "(regexp_matches({t}, '\\d') OR coalesce(contains(lower({t}), lower(title_text)), false)"
@@ -684,6 +731,17 @@ oracle(
 )
 for _name in ("ids", "contiguous", "score_bounds", "monotonic", "reasoning_present", "existence", "grounded"):
     oracle(f"check_{_name}", _CHECKS[_name], *_READS)
+oracle(
+    "check_named_skills",
+    """SELECT 'named_skills' AS "check", job_id, rank AS row_no, candidate_id, 'skill not in the record: Alchemy' AS detail
+       FROM slots WHERE rank = 4""",
+    "slots",
+)
+oracle(
+    "check_columns",
+    """SELECT 'columns' AS "check", job_id, 'not four fields' AS detail, count(*) AS n_rows FROM assigned WHERE rank = 1 GROUP BY job_id""",
+    "assigned",
+)
 oracle("validation_report", " UNION ALL ".join(c.format(rows="ranked_bad") for c in _CHECKS.values()), *_READS)
 
 # Browse

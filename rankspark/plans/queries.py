@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankspark import constants as fixed
 from rankspark.config import RankConfig
 from rankspark.functions import career, hashing, text, vectors
 from rankspark.functions.vectors import HashedTokens
@@ -22,6 +23,8 @@ from rankspark.sources import candidates, features, jobs, ranked_csv
 CFG = RankConfig(recall_k=200, top_n=20, top_tier_until=4, mid_tier_until=16, score_digits=6)
 TEXT_CFG = RankConfig(recall_k=10, top_n=10, score_digits=6)
 
+JOB = 0  # the job of queries about one job
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
 
@@ -45,7 +48,7 @@ def all_facts(v: Views) -> DataFrame:
     return facts_.of_all(v.cand, v.roles, v.sig, v.skl, CFG)
 
 
-def marked(v: Views) -> tuple[DataFrame, DataFrame, int]:
+def marked(v: Views) -> tuple[DataFrame, DataFrame]:
     return runs.marked_tables(v.vec, v.jobs, v.cand, v.roles, v.sig, v.skl, CFG)
 
 
@@ -94,12 +97,11 @@ def ranked_bad(v: Views) -> DataFrame:
 
 def facts_of(v: Views, rows: DataFrame) -> DataFrame:
     """Facts of the ids of some ranked rows."""
-    ids = rows.select("candidate_id")
-    return facts_.from_tables(ids, rows.count(), v.cand, v.roles, v.sig, v.skl, CFG)
+    return facts_.from_tables(rows, v.cand, v.roles, v.sig, v.skl, CFG)
 
 
 def records(v: Views) -> DataFrame:
-    return candidates.keep_first_in_place(candidates.records(v.parsed), CFG)
+    return candidates.keep_first(candidates.records(v.parsed))
 
 
 # Scans, sources and sinks
@@ -147,9 +149,14 @@ def jobs_resolved(v: Views) -> DataFrame:
 @query
 def features_roundtrip(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "features")
-    features.write(features.build(records(v), CFG), path)
+    features.write(features.build(records(v)), path)
     return features.read(v.spark, path).select(
-        "candidate_id", "text_hash", "model", F.size("embedding").cast("bigint").alias("dim"), r6("norm").alias("norm")
+        "candidate_id",
+        "text_hash",
+        "model",
+        F.size("embedding").cast("bigint").alias("dim"),
+        r6("norm").alias("norm"),
+        *[r6(F.col("embedding")[k].cast("double")).alias(f"w{k}") for k in range(4)],
     )
 
 
@@ -166,7 +173,7 @@ def ranked_output(v: Views) -> DataFrame:
 @query
 def ranked_reload(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "ranked")
-    ranked_csv.write(final(v), path)
+    ranked_csv.write(final(v), path, v.job_texts, CFG.top_n)
     rows = ranked_csv.read(v.spark, path)
     return rows.select(F.col("job_id").cast("bigint").alias("job_id"), "candidate_id", "rank", "score", "reasoning")
 
@@ -176,10 +183,9 @@ def ranked_reload(v: Views) -> DataFrame:
 
 @query
 def compose_text(v: Views) -> DataFrame:
-    """The whole text, and the part of it the encoder reads."""
     rows = records(v)
     whole = rows.select("candidate_id", candidates.compose_text().alias("text"))
-    return whole.withColumn("encoder_text", F.substring("text", 1, CFG.encoder_chars))
+    return whole.withColumn("text_hash", F.sha2("text", 256))
 
 
 @query
@@ -298,7 +304,7 @@ def drop_reason_counts(v: Views) -> DataFrame:
 
 @query
 def funnel_counts(v: Views) -> DataFrame:
-    pairs, recalled, _ = marked(v)
+    pairs, recalled = marked(v)
     return rules.funnel(recalled, pairs, CFG.top_n)
 
 
@@ -308,10 +314,18 @@ def funnel_counts(v: Views) -> DataFrame:
 @query
 def recall_topk(v: Views) -> DataFrame:
     """One job against all candidates."""
-    one = v.jobs.orderBy("job_id").limit(1)
+    one = v.jobs.where(F.col("job_id") == JOB)
     return top_matches(v.vec, one, CFG).select("candidate_id", "sem_score", "recall_rank")
 
 
+@query
+def rank_one_job(v: Views) -> DataFrame:
+    """One job against all stored vectors with the default sizes and rounding, to the final rows."""
+    one = v.jobs.where(F.col("job_id") == JOB)
+    top = runs.best(runs.marked_tables(v.vec, one, v.cand, v.roles, v.sig, v.skl, RankConfig())[0], RankConfig())
+    return top.select("job_id", "candidate_id", "rank", r6("score").alias("score"))
+
+
 @query
 def recall_topk_multi(v: Views) -> DataFrame:
     return top_matches(v.vec, v.jobs, CFG)
@@ -326,23 +340,22 @@ def score_all_pairs(v: Views) -> DataFrame:
 
 @query
 def recall_join(v: Views) -> DataFrame:
-    recalled, rows = runs.recall(v.vec, v.jobs, CFG)
-    joined = v.cand.join(runs.small_side(recalled, rows, CFG), "candidate_id")
+    joined = v.cand.join(runs.recall(v.vec, v.jobs, CFG), "candidate_id")
     return joined.select("job_id", "candidate_id", "sem_score", "current_title", r6("years_of_experience").alias("years"))
 
 
 @query
 def recall_missing(v: Views) -> DataFrame:
     """Recalled ids that never arrived."""
-    recalled, _ = runs.recall(v.vec, v.jobs, CFG)
+    recalled = runs.recall(v.vec, v.jobs, CFG)
     arrived = v.arrivals.select("candidate_id").distinct()
     return missing_records(recalled, arrived).select("job_id", "candidate_id")
 
 
 @query
 def match_skills(v: Views) -> DataFrame:
-    recalled, rows = runs.recall(v.vec, v.jobs, CFG)
-    named = skills.named_skills(skills.matched_rows(recalled, rows, v.jobs, v.skl, CFG), CFG)
+    recalled = runs.recall(v.vec, v.jobs, CFG)
+    named = skills.named_skills(skills.matched_rows(recalled, v.jobs, v.skl, CFG), CFG)
     return named.select(
         "job_id",
         "candidate_id",
@@ -510,7 +523,7 @@ def rank_candidates(v: Views) -> DataFrame:
 def rank_records(v: Views) -> DataFrame:
     """The whole run from raw lines: ingest, text, vectors, recall, rules, factors, sentences."""
     rows = cut(records(v).drop("source_pos"))
-    made = cut(features.build(rows, CFG))
+    made = cut(features.build(rows))
     wanted = runs.embed_jobs(v.job_texts.select("job_id", "jd_text"))
     out = runs.rank_candidates(rows, made, wanted, CFG)
     return out.withColumn("score", r6("score"))
@@ -557,7 +570,7 @@ def grounding_check(v: Views) -> DataFrame:
 def ungrounded_digits(v: Views) -> DataFrame:
     """Digit runs of ranked rows with planted faults that no field of the record holds."""
     bad = ranked_bad(v)
-    mine = runs.narrow(v.skl, bad.select("candidate_id"), bad.count(), "candidate_id", CFG)
+    mine = runs.narrow(v.skl, bad, "candidate_id")
     tokens = quality.record_digits(facts_of(v, bad)).unionByName(quality.skill_digits(mine))
     return quality.loose_digits(bad, tokens).select(
         "job_id", F.col("row_no").cast("bigint").alias("row_no"), "candidate_id", "token"
@@ -633,19 +646,41 @@ def check_reasoning_present(v: Views) -> DataFrame:
 @query
 def check_existence(v: Views) -> DataFrame:
     bad = ranked_bad(v)
-    return quality.existence(bad, v.cand, bad.count(), CFG)
+    return quality.existence(bad, v.cand)
 
 
 @query
 def check_grounded(v: Views) -> DataFrame:
     bad = ranked_bad(v)
-    return quality.grounded(bad, v.cand, facts_of(v, bad), v.skl, bad.count(), CFG)
+    return quality.grounded(bad, v.cand, facts_of(v, bad), v.skl)
+
+
+@query
+def check_named_skills(v: Views) -> DataFrame:
+    """Ranked rows with their named skills; the fourth row of each job names one that nobody has."""
+    named = F.coalesce("named_skills", F.array().cast("array<string>"))
+    planted = F.when(F.col("rank") == 4, F.concat(named, F.array(F.lit("Alchemy")))).otherwise(named)
+    rows = ranked(v).select("job_id", F.col("rank").alias("row_no"), "candidate_id", planted.alias("named_skills"))
+    return quality.named_skills(rows, v.skl)
+
+
+@query
+def check_columns(v: Views) -> DataFrame:
+    """Rows of ranked files without four fields; a second file of broken rows is planted beside each job's."""
+    path = scratch_path(v.spark, "ranked-raw")
+    rows = cut(final(v))
+    ranked_csv.write(rows, path, v.job_texts, CFG.top_n)
+    broken = rows.where(F.col("rank") == 1).select("job_id", F.concat_ws(",", "candidate_id", "rank").alias("value"))
+    lines = broken.withColumn("value", F.concat(F.lit(",".join(fixed.OUTPUT_COLUMNS) + "\n"), "value"))
+    lines.repartition("job_id").write.mode("append").partitionBy("job_id").text(path)
+    found = quality.columns(cut(ranked_csv.read_raw(v.spark, path)))
+    return found.groupBy("check", "job_id", "detail").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query
 def validation_report(v: Views) -> DataFrame:
     bad = ranked_bad(v)
-    return quality.report(bad, v.job_texts, v.cand, facts_of(v, bad), v.skl, bad.count(), CFG)
+    return quality.report(bad, v.job_texts, v.cand, facts_of(v, bad), v.skl, CFG)
 
 
 # Browse

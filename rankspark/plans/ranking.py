@@ -8,28 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.config import RankConfig
-from rankspark.functions.vectors import Encoder, HashedTokens, encode
+from rankspark.functions.vectors import Encoder, HashedTokens, encode, model_name
 from rankspark.operators import facts as facts_
 from rankspark.operators import ranking, reasoning, rules, scoring, skills
 from rankspark.operators.recall import top_matches
-from rankspark.session import by_key, cut, narrow, small_side
+from rankspark.session import by_key, cut, narrow
+from rankspark.sources.features import ModelMismatch
 
 
 def embed_jobs(jobs: DataFrame, make_encoder: Callable[[], Encoder] = HashedTokens) -> DataFrame:
-    """Add ``job_vec`` to jobs with the encoder that made the candidate vectors."""
-    return encode(jobs, "jd_text", make_encoder, out="job_vec")
+    """Add ``job_vec`` and ``job_model`` to jobs, with the encoder that made the candidate vectors."""
+    made = encode(jobs, "jd_text", make_encoder, out="job_vec")
+    return made.withColumn("job_model", F.lit(model_name(make_encoder)))
 
 
-def recall(vectors: DataFrame, jobs: DataFrame, cfg: RankConfig) -> tuple[DataFrame, int]:
-    """Top K per job, stored, and its number of rows. K counts before any rule drops a row."""
-    found = cut(top_matches(vectors, jobs, cfg))
-    return found, found.count()
+def require_same_model(vectors: DataFrame, jobs: DataFrame) -> None:
+    """Vectors of candidates and jobs must come from one model, where both tables name it."""
+    if "model" not in vectors.columns or "job_model" not in jobs.columns:
+        return
+    names = {r[0] for r in vectors.select("model").distinct().limit(2).collect()}
+    names |= {r[0] for r in jobs.select("job_model").distinct().limit(2).collect()}
+    if len(names) > 1:
+        raise ModelMismatch(f"vectors of different models: {sorted(map(str, names))}")
 
 
-def mark(recalled: DataFrame, rows: int, facts: DataFrame, cfg: RankConfig) -> DataFrame:
+def recall(vectors: DataFrame, jobs: DataFrame, cfg: RankConfig) -> DataFrame:
+    """Top K per job, stored. K counts before any rule drops a row."""
+    require_same_model(vectors, jobs)
+    return cut(top_matches(vectors, jobs, cfg))
+
+
+def mark(recalled: DataFrame, facts: DataFrame, cfg: RankConfig) -> DataFrame:
     """Recalled pairs with facts and drop reason; pairs without a record fall out here."""
     marked = facts.withColumn("drop_reason", rules.drop_reason(cfg))
-    return marked.join(small_side(recalled, rows, cfg), "candidate_id")
+    return marked.join(recalled, "candidate_id")
 
 
 def score(marked: DataFrame, cfg: RankConfig) -> DataFrame:
@@ -51,11 +63,11 @@ def marked_tables(
     signals: DataFrame,
     skl: DataFrame,
     cfg: RankConfig,
-) -> tuple[DataFrame, DataFrame, int]:
-    """Marked pairs, recalled pairs and their number, for data in separate tables."""
-    recalled, rows = recall(vectors, jobs, cfg)
-    facts = facts_.from_tables(recalled.select("candidate_id"), rows, cand, roles, signals, skl, cfg)
-    return mark(recalled, rows, facts, cfg), recalled, rows
+) -> tuple[DataFrame, DataFrame]:
+    """Marked pairs and recalled pairs, for data in separate tables."""
+    recalled = recall(vectors, jobs, cfg)
+    facts = facts_.from_tables(recalled, cand, roles, signals, skl, cfg)
+    return mark(recalled, facts, cfg), recalled
 
 
 def rank_tables(
@@ -68,18 +80,20 @@ def rank_tables(
     cfg: RankConfig,
 ) -> DataFrame:
     """Ranked rows with facts and named skills, ready for sentences, from separate tables."""
-    marked, _, _ = marked_tables(vectors, jobs, cand, roles, signals, skl, cfg)
-    top = cut(best(marked, cfg))
-    n = top.count()
-    named = skills.named_skills(skills.matched_rows(top, n, jobs, skl, cfg), cfg)
-    return by_key(top.join(named, ["job_id", "candidate_id"], "left"), "job_id", n)
+    recalled = recall(vectors, jobs, cfg)
+    # the skills of recalled candidates serve the rules and the matches
+    own = cut(narrow(skl, recalled, "candidate_id"))
+    facts = facts_.from_tables(recalled, cand, roles, signals, own, cfg)
+    top = cut(best(mark(recalled, facts, cfg), cfg))
+    named = skills.named_skills(skills.matched_rows(top, jobs, own, cfg), cfg)
+    return by_key(top.join(named, ["job_id", "candidate_id"], "left"), "job_id", top.count())
 
 
 def rank_records(records: DataFrame, vectors: DataFrame, jobs: DataFrame, cfg: RankConfig) -> DataFrame:
     """The same from ingested records. Only the recalled records are read beyond their id."""
-    recalled, rows = recall(vectors, jobs, cfg)
-    chosen = narrow(records, recalled.select("candidate_id"), rows, "candidate_id", cfg)
-    top = cut(best(mark(recalled, rows, facts_.from_records(chosen, cfg), cfg), cfg))
+    recalled = recall(vectors, jobs, cfg)
+    chosen = narrow(records, recalled, "candidate_id")
+    top = cut(best(mark(recalled, facts_.from_records(chosen, cfg), cfg), cfg))
     matched = skills.matched_in(F.col("skills"), F.col("jd_lower"), cfg)
     return (
         by_key(top, "job_id", top.count())

@@ -1,13 +1,10 @@
-"""Session helpers: shared scratch space, lineage cuts and size-checked broadcasts."""
+"""Session helpers: shared scratch space, lineage cuts and narrowing by ids."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rankspark.config import RankConfig
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -34,9 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where the tables of this application stand."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one table below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one table of this application below the shared folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this application stored on its way; results that still need them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,18 +70,11 @@ def by_key(df: DataFrame, key: str, rows: int, rows_per_task: int = 500) -> Data
     return df.repartition(max(1, min(most, rows // rows_per_task)), key)
 
 
-def small_side(df: DataFrame, rows: int, cfg: RankConfig) -> DataFrame:
-    """Mark ``df`` for broadcast when its known row bound is small; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if rows <= cfg.broadcast_rows else df
-
-
-def narrow(df: DataFrame, ids: DataFrame, rows: int, key: str, cfg: RankConfig) -> DataFrame:
-    """Keep the rows of a large table whose key is in a small set.
+def narrow(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Keep the rows of a large table whose key is in a set of ids.
 
-    Done by broadcast, without moving the large table. When the set is too large
-    for that, the table is returned as it is: callers aggregate per key first
-    and join afterwards, which stays right and moves one row per key and task.
+    A semi-join on distinct ids: Spark sends the ids to the table while they are small, in
+    bytes as measured at run time, and otherwise meets them by key. Either way the table
+    is filtered before anything is aggregated.
     """
-    if rows > cfg.broadcast_rows:
-        return df
-    return df.join(F.broadcast(ids), key, "left_semi")
+    return df.join(ids.select(key).distinct(), key, "left_semi")

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.config import RankConfig
 from rankspark.functions import text
 from rankspark.session import cut
 
@@ -130,42 +129,14 @@ def records(parsed: DataFrame, signals_field: str = "signals", id_field: str = "
 
 
 def keep_first(rows: DataFrame, key: str = "candidate_id", position: str = "source_pos") -> DataFrame:
-    """First row per id by position.
+    """First row per id by position; positions of an id must differ and must not change between two reads.
 
-    An aggregation, not a window: every task reduces its rows to one per id before
-    the shuffle, so an id with very many copies does not load one task.
+    Only ids and positions are aggregated, reduced per task before the shuffle; the rows are
+    then met by a semi-join, so no whole row is sorted or held in an aggregate.
     """
-    others = [c for c in rows.columns if c != key]
-    first = F.min_by(F.struct(*others), F.col(position)).alias("first")
-    return rows.groupBy(key).agg(first).select(key, *[F.col("first")[c].alias(c) for c in others])
-
-
-def keep_first_in_place(
-    rows: DataFrame, cfg: RankConfig, key: str = "candidate_id", position: str = "source_pos"
-) -> DataFrame:
-    """The same as ``keep_first`` for wide rows, of which few repeat.
-
-    Only ids and positions are shuffled, to find the repeated ids and where each stands
-    first. While these are few enough to be broadcast, every other row of theirs is
-    filtered out where it lies. Positions must be unique.
-    """
-    repeated = (
-        rows.groupBy(key)
-        .agg(F.min(position).alias("first_pos"), F.count(F.lit(1)).alias("n_rows"))
-        .where(F.col("n_rows") > 1)
-        .drop("n_rows")
-    )
-    repeated = cut(repeated)
-    n = repeated.count()
-    if n == 0:
-        return rows
-    if n > cfg.broadcast_rows:
-        return keep_first(rows, key, position)
-    return (
-        rows.join(F.broadcast(repeated), key, "left")
-        .where(F.col("first_pos").isNull() | (F.col("first_pos") == F.col(position)))
-        .drop("first_pos")
-    )
+    first = rows.groupBy(key).agg(F.min(position).alias("first_pos")).withColumnRenamed(key, "first_key")
+    same = (F.col(key) == F.col("first_key")) & (F.col(position) == F.col("first_pos"))
+    return rows.join(first, same, "left_semi")
 
 
 def repeated_ids(rows: DataFrame, key: str = "candidate_id") -> DataFrame:
@@ -179,11 +150,16 @@ def repeated_ids(rows: DataFrame, key: str = "candidate_id") -> DataFrame:
 
 
 def scan_candidates(
-    spark: SparkSession, path: str | list[str], cfg: RankConfig, signals_field: str = "signals"
+    spark: SparkSession, path: str | list[str], signals_field: str = "signals"
 ) -> DataFrame:
-    """Read, parse and keep the first record per id."""
-    rows = records(parse(read_lines(spark, path)), signals_field)
-    return keep_first_in_place(rows, cfg).drop("source_pos")
+    """Read, parse and keep the first record per id.
+
+    Positions come from the splits of one scan, and another scan may split the files
+    otherwise. So parsed records are stored with their positions once, and everything
+    after reads the stored table.
+    """
+    rows = cut(records(parse(read_lines(spark, path)), signals_field))
+    return keep_first(rows).drop("source_pos")
 
 
 def compose_text() -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark.config import RankConfig
 from rankspark.functions import vectors
 from rankspark.functions.vectors import Encoder, HashedTokens
 from rankspark.schema import FEATURES
@@ -22,34 +21,36 @@ class MissingColumns(ValueError):
     """A stored table lacks columns."""
 
 
-def with_text(records: DataFrame, cfg: RankConfig) -> DataFrame:
-    """``candidate_id, text, text_hash``: what the encoder reads, limited to its input length."""
-    cut_text = F.substring(compose_text(), 1, cfg.encoder_chars)
-    return records.select("candidate_id", cut_text.alias("text")).withColumn("text_hash", F.sha2("text", 256))
+class ModelMismatch(ValueError):
+    """Vectors of different models are compared."""
 
 
-def build(
-    records: DataFrame,
-    cfg: RankConfig,
-    model: str = "hashed-tokens-384",
-    make_encoder: Callable[[], Encoder] = HashedTokens,
-) -> DataFrame:
-    """Unit vectors for all records with the name of the model that made them."""
-    encoded = vectors.encode(with_text(records, cfg), "text", make_encoder)
-    return encoded.select(
+def with_text(records: DataFrame) -> DataFrame:
+    """``candidate_id, text, text_hash``: the whole text the encoder reads."""
+    return records.select("candidate_id", compose_text().alias("text")).withColumn("text_hash", F.sha2("text", 256))
+
+
+def build(records: DataFrame, make_encoder: Callable[[], Encoder] = HashedTokens) -> DataFrame:
+    """Unit vectors for all records with the name of the encoder that made them."""
+    return encode_texts(with_text(records), make_encoder)
+
+
+def encode_texts(texts: DataFrame, make_encoder: Callable[[], Encoder] = HashedTokens) -> DataFrame:
+    """The same for rows that have their text and its hash already."""
+    return vectors.encode(texts, "text", make_encoder).select(
         "candidate_id",
         "text_hash",
-        F.lit(model).alias("model"),
+        F.lit(vectors.model_name(make_encoder)).alias("model"),
         "embedding",
         vectors.norm(F.col("embedding")).alias("norm"),
     )
 
 
 def write(features: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store vectors. An empty result is an error; by default nothing stored before is replaced."""
-    features.write.mode(mode).parquet(path)
-    if features.sparkSession.read.schema(FEATURES).parquet(path).limit(1).count() == 0:
+    """Store vectors. An empty result is an error before anything is written; nothing stored is replaced by default."""
+    if features.select("candidate_id").limit(1).count() == 0:
         raise EmptyFeatures(path)
+    features.write.mode(mode).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -68,10 +69,12 @@ def todo(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge(old: DataFrame, new: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """Old rows before new ones; the first row per id by position stays."""
-    both = old.withColumn("part", F.lit(0)).unionByName(new.withColumn("part", F.lit(1)))
-    ranked = both.withColumn("merge_pos", F.struct("part", "source_pos"))
-    return keep_first(ranked, key, "merge_pos").drop("part", "merge_pos")
+    """Old rows, then new rows of other ids; the first row per id by position stays.
+
+    Rows are not sorted: ids and positions are aggregated, and ids of old rows meet new ones.
+    """
+    fresh = keep_first(new, key).join(old.select(key), key, "left_anti")
+    return keep_first(old, key).unionByName(fresh)
 
 
 def manifest(features: DataFrame, key: str = "candidate_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankspark import constants as fixed
 from rankspark.schema import RANKED_CSV
+from rankspark.session import cut
 
 
 class ShortResult(RuntimeError):
@@ -39,12 +40,12 @@ def require_full(ranked: DataFrame, jobs: DataFrame, n: int) -> None:
         raise ShortResult(f"{n} rows needed, found {[(r['job_id'], r['n_rows'] or 0) for r in short]}")
 
 
-def write(ranked: DataFrame, path: str, jobs: DataFrame | None = None, n: int | None = None) -> None:
-    """Write all jobs side by side, each job sorted by rank. With ``jobs`` and ``n`` short results are refused."""
-    if jobs is not None and n is not None:
-        require_full(ranked, jobs, n)
+def write(ranked: DataFrame, path: str, jobs: DataFrame, n: int) -> None:
+    """Write all jobs side by side, each job sorted by rank. Unless every job has n rows, nothing is written."""
+    rows = cut(output_rows(ranked))
+    require_full(rows, jobs, n)
     (
-        output_rows(ranked)
+        rows
         .repartition("job_id")
         .sortWithinPartitions("job_id", "rank")
         .write.mode("overwrite")
@@ -77,6 +78,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         .option("header", True)
         .option("enforceSchema", True)
         .option("columnPruning", False)
+        .option("multiLine", True)
         .option("escape", '"')
         .option("columnNameOfCorruptRecord", "_corrupt")
         .csv(path)

@@ -8,33 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rankspark.config import RankConfig
-from rankspark.functions.vectors import Encoder, HashedTokens
+from rankspark.functions.vectors import Encoder, HashedTokens, model_name
 from rankspark.schema import FEATURES
+from rankspark.session import cut, narrow
 from rankspark.sources import candidates, features
 
 
-def new_rows(batch: DataFrame, stored: DataFrame, cfg: RankConfig) -> DataFrame:
-    """Rows of a batch whose id is not stored yet.
-
-    The stored ids are narrowed to those of the batch first, by broadcast while the
-    batch is small enough, so the large table is not moved.
-    """
-    ids = batch.select("candidate_id")
-    known = stored.select("candidate_id")
-    if batch.count() <= cfg.broadcast_rows:
-        known = known.join(F.broadcast(ids), "candidate_id", "left_semi")
+def new_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of a batch whose id is not stored yet; the stored ids are narrowed to those of the batch first."""
+    known = narrow(stored.select("candidate_id"), batch, "candidate_id")
     return batch.join(known, "candidate_id", "left_anti")
 
 
+def unfinished(batch: DataFrame, records: DataFrame, stored: DataFrame, model: str) -> DataFrame:
+    """Stored records of a batch that have no vector of this model for the text they have."""
+    texts = features.with_text(narrow(records, batch, "candidate_id")).withColumn("model", F.lit(model))
+    keys = ["candidate_id", "model", "text_hash"]
+    return features.todo(texts, narrow(stored.select(*keys), batch, "candidate_id"), keys)
+
+
 def ingest(
     spark: SparkSession,
     source: str,
     target: str,
     progress: str,
-    cfg: RankConfig,
     signals_field: str = "signals",
-    model: str = "hashed-tokens-384",
     make_encoder: Callable[[], Encoder] = HashedTokens,
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
@@ -43,8 +41,10 @@ def ingest(
     ``target`` gets three tables: ``records``, ``features`` and ``quarantine``. Progress is
     kept in ``progress``. The first record per id stays, within a batch and over all
     batches. A batch that is run again after a failure adds nothing twice, because
-    every table is compared with what is stored before rows are added.
+    every table is compared with what is stored before rows are added. A record gets a new
+    vector when it has none of this encoder's for its present text.
     """
+    model = model_name(make_encoder)
 
     def table(name: str, schema) -> DataFrame:
         path = f"{target}/{name}"
@@ -60,13 +60,15 @@ def ingest(
         )
         bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch_id={batch_id}")
 
-        good = candidates.keep_first(candidates.records(parsed, signals_field)).drop("source_pos")
-        good = good.persist()
+        # one scan gives the positions; a stored table keeps them for the second pass
+        rows = cut(candidates.records(parsed, signals_field))
+        good = candidates.keep_first(rows).drop("source_pos").persist()
         try:
-            fresh = new_rows(good, table("records", good.schema), cfg)
+            fresh = new_rows(good, table("records", good.schema))
             fresh.write.mode("append").parquet(f"{target}/records")
-            bare = new_rows(good, table("features", FEATURES), cfg)
-            features.build(bare, cfg, model, make_encoder).write.mode("append").parquet(f"{target}/features")
+            bare = unfinished(good, table("records", good.schema), table("features", FEATURES), model)
+            made = features.encode_texts(bare.drop("model"), make_encoder)
+            made.write.mode("append").parquet(f"{target}/features")
         finally:
             good.unpersist()
 

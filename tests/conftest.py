@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from rankspark.session import clear_scratch  # noqa: E402
+
 
 def make_session() -> SparkSession:
     spark = (
@@ -26,5 +28,8 @@ def make_session() -> SparkSession:
 
 
 @pytest.fixture(scope="session")
-def spark() -> SparkSession:
-    return make_session()
+def spark(tmp_path_factory) -> SparkSession:
+    session = make_session()
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+    yield session
+    clear_scratch(session)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from rankspark.config import RankConfig
 from rankspark.operators import quality, ranking, reasoning, rules
-from rankspark.operators.recall import DuplicateJob, top_matches
+from rankspark.operators.recall import DuplicateJob, MissingVector, top_matches
 from rankspark.plans import ranking as runs
 from rankspark.plans.queries import CFG as VIEW_CFG
 from rankspark.plans.views import Views
 from rankspark.sources import candidates, features
+from rankspark.sources.features import ModelMismatch
 
 VECTORS = "candidate_id string, embedding array<float>"
 
@@ -35,15 +36,15 @@ def brute_force(vecs, jobs, k, digits=6):
     return out
 
 
-@pytest.mark.parametrize("state, salts", [(1_000_000, 16), (20, 1), (20, 3)])
-def test_recall_is_exact(spark, state, salts):
+@pytest.mark.parametrize("state, merge, bound", [(1_000_000, 50, 64), (20, 100, 64), (20, 2, 1), (1_000_000, 2, 1)])
+def test_recall_is_exact(spark, state, merge, bound):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(60, 8)).astype(np.float32)
     # a third of all vectors are copies of one, so many scores tie; one is zero, one missing
     vecs = [(f"c{i:03d}", base[i].tolist()) for i in range(60)] + [(f"h{i:03d}", base[0].tolist()) for i in range(40)]
     vecs += [("zero", [0.0] * 8), ("none", None)]
     jobs = [(j, (base[j] + (0 if j < 3 else 0.3)).tolist()) for j in range(12)]
-    cfg = RankConfig(recall_k=10, score_digits=6, recall_state_rows=state, merge_salts=salts)
+    cfg = RankConfig(recall_k=10, score_digits=6, recall_state_rows=state, tasks_per_merge=merge, bound_from_tasks=bound)
     got = top_matches(
         spark.createDataFrame(vecs, VECTORS).repartition(7),
         spark.createDataFrame(jobs, "job_id long, job_vec array<float>"),
@@ -92,10 +93,43 @@ def test_order_and_partitions_do_not_matter(spark, whole_run):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_joins_beyond_the_broadcast_limit_give_the_same(spark, whole_run):
-    from dataclasses import replace
+def test_joins_without_broadcasts_give_the_same(spark, whole_run):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows_of(run_tables(spark, VIEW_CFG)) == whole_run
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_equal_vectors_tie_by_id_with_the_default_rounding(spark):
+    """The last bits of a product depend on the batch; the order of equal vectors must not."""
+    rng = np.random.default_rng(3)
+    same, other = rng.normal(size=384).tolist(), rng.normal(size=(300, 384))
+    rows = [(f"e{i:04d}", same) for i in range(1000)] + [(f"o{i:04d}", x.tolist()) for i, x in enumerate(other)]
+    vecs = spark.createDataFrame(rows, VECTORS)
+    jobs = spark.createDataFrame([(j, rng.normal(size=384).tolist()) for j in range(3)], "job_id long, job_vec array<float>")
+    cfg, before, seen = RankConfig(recall_k=700), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for parts, batch in ((1, "10000"), (3, "7"), (50, "64")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            seen.append({(r.job_id, r.candidate_id, r.recall_rank) for r in top_matches(vecs.repartition(parts), jobs, cfg).collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_a_job_without_vector_is_an_error(spark):
+    vecs = spark.createDataFrame([("a", [1.0, 0.0])], VECTORS)
+    with pytest.raises(MissingVector):
+        top_matches(vecs, spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "job_id long, job_vec array<float>"), RankConfig())
+
 
-    assert rows_of(run_tables(spark, replace(VIEW_CFG, broadcast_rows=1))) == whole_run
+def test_vectors_of_two_models_are_refused(spark):
+    vecs = spark.createDataFrame([("a", [1.0, 0.0], "one")], VECTORS + ", model string")
+    jobs = spark.createDataFrame([(1, [1.0, 0.0], "two")], "job_id long, job_vec array<float>, job_model string")
+    with pytest.raises(ModelMismatch):
+        runs.recall(vecs, jobs, RankConfig())
 
 
 def test_output_contract(whole_run):
@@ -118,7 +152,7 @@ def test_good_output_passes_all_checks(spark):
     from rankspark.operators import facts
 
     known = facts.of_all(v.cand, v.roles, v.sig, v.skl, VIEW_CFG)
-    errors = quality.report(out, v.job_texts, v.cand, known, v.skl, 800, VIEW_CFG)
+    errors = quality.report(out, v.job_texts, v.cand, known, v.skl, VIEW_CFG)
     assert quality.verdict(errors) == (True, 0, [])
 
 
@@ -139,7 +173,7 @@ def test_records_run(spark):
     cfg = RankConfig(recall_k=100, top_n=30, score_digits=6)
     records = candidates.keep_first(candidates.records(candidates.parse(lines))).drop("source_pos")
     jobs = runs.embed_jobs(spark.createDataFrame([(1, "Python, kafka, HR-tech category")], "job_id long, jd_text string"))
-    rows = runs.rank_candidates(records, features.build(records, cfg), jobs, cfg).orderBy("rank").collect()
+    rows = runs.rank_candidates(records, features.build(records), jobs, cfg).orderBy("rank").collect()
     assert [r.candidate_id for r in rows] == [f"CAND_{i:03d}" for i in range(30)]
     assert len({r.reasoning for r in rows}) == 30
     said = [r.reasoning for r in rows]

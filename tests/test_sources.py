@@ -9,13 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankspark import constants as fixed
-from rankspark.config import RankConfig
 from rankspark.functions.vectors import HashedTokens
 from rankspark.operators import quality
 from rankspark.sources import candidates, features, jobs, ranked_csv
 from rankspark.streaming.ingest import ingest
 
-CFG = RankConfig(broadcast_rows=1000)
 
 
 def record(cid, **more):
@@ -57,7 +55,7 @@ def lines_dir(tmp_path):
 
 
 def test_scan(spark, lines_dir):
-    rows = {r.candidate_id: r for r in candidates.scan_candidates(spark, str(lines_dir), CFG, "sig").collect()}
+    rows = {r.candidate_id: r for r in candidates.scan_candidates(spark, str(lines_dir), "sig").collect()}
     assert set(rows) == {"a", "12", "b"}
     assert [s.name for s in rows["a"].skills] == ["Go", " C++ ", None, "", "7"]
     assert rows["12"].profile.headline is None and rows["12"].career_history == []
@@ -79,20 +77,37 @@ def test_gzip_gives_the_same(spark, lines_dir, tmp_path):
     z.mkdir()
     with gzip.open(z / "one.jsonl.gz", "wb") as f:
         f.write(b"\n".join(LINES))
-    plain = candidates.scan_candidates(spark, str(lines_dir), CFG, "sig")
-    packed = candidates.scan_candidates(spark, str(z), CFG, "sig")
+    plain = candidates.scan_candidates(spark, str(lines_dir), "sig")
+    packed = candidates.scan_candidates(spark, str(z), "sig")
     key = lambda df: sorted(str(r) for r in df.collect())
     assert key(plain) == key(packed)
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_keep_first_in_place(spark, limit):
+def test_keep_first(spark):
     rows = spark.createDataFrame(
         [(f"id{i % 7}", i, f"v{i}") for i in range(40)] + [("solo", 99, "x")], "candidate_id string, source_pos int, v string"
     ).repartition(5)
-    got = candidates.keep_first_in_place(rows, RankConfig(broadcast_rows=limit)).collect()
+    got = candidates.keep_first(rows).collect()
     assert sorted(tuple(r) for r in got) == sorted([(f"id{i}", i, f"v{i}") for i in range(7)] + [("solo", 99, "x")])
-    assert sorted(tuple(r) for r in candidates.keep_first(rows).collect()) == sorted(tuple(r) for r in got)
+
+
+@pytest.mark.parametrize("split, cores", [("64", "8"), ("1m", "1")])
+def test_scan_loses_nothing_when_splits_change(spark, tmp_path, split, cores):
+    """All ids repeat over three files; the action runs with other splits than the call."""
+    src = tmp_path / "many"
+    src.mkdir()
+    for f in range(3):
+        (src / f"{f}.jsonl").write_text("\n".join(json.dumps({"candidate_id": f"c{i}", "n": f}) for i in range(700)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = candidates.scan_candidates(spark, str(src))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+    try:
+        assert rows.count() == 700
+        assert rows.select("candidate_id").distinct().count() == 700
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
 
 
 def test_compose_text(spark):
@@ -109,7 +124,7 @@ def test_compose_text(spark):
     got = dict(rows.select("candidate_id", candidates.compose_text()).collect())
     assert got["x"] == f"H | T at C | Skills: a, b | {'S' * 3000} | Experience: t1 | d1 d2 | Education: BSc, F"
     assert got["y"] == "at Only" and got["z"] == ""
-    assert features.with_text(rows, CFG).where("candidate_id = 'x'").first().text == got["x"][:2000]
+    assert features.with_text(rows).where("candidate_id = 'x'").first().text == got["x"]
 
 
 def test_jobs(spark, tmp_path):
@@ -128,8 +143,8 @@ def test_jobs(spark, tmp_path):
 
 
 def test_features(spark, lines_dir, tmp_path):
-    rows = candidates.scan_candidates(spark, str(lines_dir), CFG, "sig")
-    made = features.build(rows, CFG)
+    rows = candidates.scan_candidates(spark, str(lines_dir), "sig")
+    made = features.build(rows)
     path = str(tmp_path / "f")
     features.write(made, path)
     assert features.read(spark, path).count() == 3
@@ -203,7 +218,7 @@ def test_incremental_ingest(spark, tmp_path):
     src.mkdir()
 
     def run():
-        ingest(spark, str(src), out, progress, CFG).awaitTermination()
+        ingest(spark, str(src), out, progress).awaitTermination()
 
     (src / "1.jsonl").write_text("\n".join(json.dumps(record(c, note=1)) for c in "abca") + "\nbroken\n")
     run()
@@ -221,5 +236,74 @@ def test_lost_progress_adds_nothing_twice(spark, tmp_path):
     src.mkdir()
     (src / "1.jsonl").write_text("\n".join(json.dumps(record(c)) for c in "ab"))
     for progress in ("p1", "p2"):
-        ingest(spark, str(src), out, str(tmp_path / progress), CFG).awaitTermination()
+        ingest(spark, str(src), out, str(tmp_path / progress)).awaitTermination()
     assert spark.read.parquet(f"{out}/records").count() == spark.read.parquet(f"{out}/features").count() == 2
+
+
+def test_validate_file(spark, tmp_path):
+    """One call on a file: header, fields and all checks."""
+    from rankspark import constants
+    from rankspark.config import RankConfig
+
+    cand = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "candidate_id string")
+    shown = "candidate_id string, years double, notice_days double, github double, title string"
+    facts = spark.createDataFrame([("c1", 7.0, 30.0, None, "Engineer"), ("c2", 3.0, None, None, "Analyst")], shown)
+    skl = spark.createDataFrame([("c1", "Python3", 0)], "candidate_id string, skill string, pos int")
+    good = tmp_path / "good.csv"
+    good.write_text(",".join(constants.OUTPUT_COLUMNS) + '\nc1,1,1.000000,"7 years,\nPython3"\nc2,2,0.500000,3 years\n')
+    cfg = RankConfig(top_n=2)
+    assert quality.validate_file(spark, str(good), 1, cand, facts, skl, cfg).count() == 0
+    bad = tmp_path / "bad.csv"
+    bad.write_text("id,rank,score,reasoning\nc1,1,0.5,9 years\nc2,2\nc9,3,0.6,\n")
+    errors = quality.validate_file(spark, str(bad), 1, cand, facts, skl, cfg)
+    found = {(r.check, r.row_no) for r in errors.collect()}
+    assert {("header", None), ("columns", 2), ("row_count", None), ("grounded", 1), ("existence", 3), ("reasoning_present", 3), ("monotonic", 3)} <= found
+
+
+def test_scratch_is_cleared_and_clusters_name_a_folder(spark, tmp_path):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    from rankspark import session
+
+    kept = session.cut(spark.range(3))
+    folder = Path(session.run_folder(spark).removeprefix("file:"))
+    assert kept.count() == 3 and any(folder.iterdir())
+    session.clear_scratch(spark)
+    assert not folder.exists()
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(session.NoSharedFolder):
+        session.shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
+def test_encoders_with_a_limited_input_get_all_pieces(spark):
+    from rankspark.functions import vectors
+
+    class Short:
+        name, max_chars = "short", 10
+
+        def __call__(self, texts):
+            assert all(len(t) <= 10 for t in texts)
+            import numpy as np
+
+            return np.array([[t.count("a"), t.count("b"), len(t)] for t in texts], dtype=float)
+
+    a, b = vectors.encode_whole(Short(), ["a" * 20 + "b" * 5, ""])
+    assert a.tolist() == pytest.approx([8.0, 1.0, 9.0]) and b.tolist() == [0, 0, 0]
+    rows = spark.createDataFrame([("x" * 2500 + " one",), ("x" * 2500 + " two",)], "text string")
+    made = [r.embedding for r in vectors.encode(rows, "text", HashedTokens).collect()]
+    assert made[0] != made[1]
+
+
+def test_a_new_encoder_makes_new_vectors(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.jsonl").write_text(json.dumps(record("m1")))
+    ingest(spark, str(src), out, str(tmp_path / "p1")).awaitTermination()
+    ingest(spark, str(src), out, str(tmp_path / "p2")).awaitTermination()
+    assert features.read(spark, f"{out}/features").count() == 1
+    ingest(spark, str(src), out, str(tmp_path / "p3"), make_encoder=lambda: HashedTokens(dim=16)).awaitTermination()
+    stored = features.read(spark, f"{out}/features")
+    assert sorted(r.model for r in stored.collect()) == ["hashed-tokens-16", "hashed-tokens-384"]
+    assert spark.read.parquet(f"{out}/records").count() == 1
