@@ -6,11 +6,10 @@ components name buckets; texts that share one are compared on their full sets, a
 when the similarity reaches the limit.
 
 Exact copies are one vertex from the start. Within a bucket all members are compared with
-one of them, the hub, and not with each other. A member that does not end up in the hub's
-component is then compared with those members of other components which its distance to
-the hub allows (the Jaccard distance obeys the triangle inequality): no pair that could
-still change a component is left out, and a large bucket of mutual copies costs one
-comparison per member.
+one of them, the hub, and not with each other. Members that do not end up in the hub's
+component are then compared with all others of their cluster that can still be linked with
+anything, in blocks whose result is a forest of links. So a large bucket of mutual copies
+costs one comparison per member, no link is lost, and no pairs are written.
 """
 
 from __future__ import annotations
@@ -40,6 +39,7 @@ class NearDedupConfig:
     bands: int = 32
     band_rows: int = 5
     seed: int = 11
+    block_shingles: int = 50_000
 
     def __post_init__(self) -> None:
         if not (self.words > 0 and 0 < self.percent <= 100 and self.bands > 0 and self.band_rows > 0):
@@ -127,7 +127,7 @@ def _member_sets(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, cfg: N
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
-    """``a, b, far, linked`` for pairs of vertices, measured on the full sets of both."""
+    """``a, b, linked`` for pairs of vertices, measured on the full sets of both."""
     one = sets.select(F.col("v").alias("a"), F.col("found").alias("set_a"))
     two = sets.select(F.col("v").alias("b"), F.col("found").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
@@ -137,7 +137,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFra
         measured.distinct().select(
             "a",
             "b",
-            (1 - F.col("both") / F.col("either")).alias("far"),
             (100 * F.col("both") >= cfg.percent * F.col("either")).alias("linked"),
         )
     )
@@ -181,9 +180,9 @@ def near_duplicates(
         first = _confirm(pairs, sets, cfg)
         links = first.where("linked").select("a", "b")
         components = connected(links)
-        rest = _rest(members, first, components, sets, cfg)
-        if not is_empty(rest):
-            more = _confirm(rest, sets, cfg).where("linked").select("a", "b")
+        clusters = _open_clusters(members, components, sets, cfg)
+        if not is_empty(clusters):
+            more = _late_links(clusters, sets, cfg)
             if not is_empty(more):
                 components = connected(links.unionByName(more))
     return _result(signed, vertices, components)
@@ -198,55 +197,108 @@ def _shareable(sets: DataFrame) -> DataFrame:
     return sizes.join(free, "v", "left").withColumn("free", F.coalesce("free", F.lit(0)))
 
 
-def _rest(
-    members: DataFrame, measured: DataFrame, components: DataFrame, sets: DataFrame, cfg: NearDedupConfig
+def _open_clusters(
+    members: DataFrame, components: DataFrame, sets: DataFrame, cfg: NearDedupConfig
 ) -> DataFrame:
-    """Pairs of a bucket that no component joins yet and that no bound rules out.
+    """``cluster, main, v, root, size, free``: vertices that may still have a link to another component.
 
-    Two bounds leave out nothing that could be linked. The distances of two members to
-    their hub differ by no more than their own distance. And two sets have in common at
-    most what each of them shares with any set at all: a copy with many changes of its own
-    drops out by itself, before it meets anyone.
+    Vertices that share buckets are a cluster; ``main`` is its largest component. A bucket
+    whose members are all of the hub's component is settled. So is a vertex that has too
+    many shingles of its own to be linked with any other.
     """
     label = components.select("v", "root")
     hubs = components.select(F.col("v").alias("hub"), F.col("root").alias("hub_root"))
-    far = measured.select(F.col("a").alias("hub"), F.col("b").alias("v"), "far")
     placed = cut(
         members.join(label, "v", "left")
         .join(hubs, "hub", "left")
-        .join(far, ["hub", "v"], "left")
-        .select(
-            "bucket",
-            "v",
-            F.coalesce("root", "v").alias("root"),
-            F.coalesce("hub_root", "hub").alias("hub_root"),
-            F.coalesce("far", F.lit(0.0)).alias("far"),
-        )
+        .select("bucket", "v", F.coalesce("root", "v").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
     )
-    open_buckets = placed.where("root <> hub_root").select("bucket").distinct()
-    placed = placed.join(open_buckets, "bucket", "left_semi")
-    present = placed.select("v").distinct()
-    bound = _shareable(sets.join(present, "v", "left_semi"))
+    # a bucket of two has had its only comparison
+    many = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("root") != F.col("hub_root")).cast("int")).alias("open"))
+    placed = cut(placed.join(many.where("n > 2 and open = 1").select("bucket"), "bucket", "left_semi"))
+    bound = _shareable(sets.join(placed.select("v").distinct(), "v", "left_semi"))
     bound = cut(bound.where(100 * F.col("free") >= cfg.percent * F.col("size")))
-    placed = cut(placed.join(bound, "v"))
-    outside = placed.where("root <> hub_root")
-    other = placed.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("v", "root", "far", "size", "free")])
-    limit = 1 - cfg.percent / 100 + 1e-9
-    common = F.least("free", "free_2", "size", "size_2")
-    # against members of the hub's component in any order, among the others each pair once
-    wanted = (
-        (F.col("root") != F.col("root_2"))
-        & (F.abs(F.col("far") - F.col("far_2")) <= limit)
-        & ((100 + cfg.percent) * common >= cfg.percent * (F.col("size") + F.col("size_2")))
-        & ((F.col("root_2") == F.col("hub_root")) | (F.col("v") < F.col("v_2")))
+    placed = cut(placed.join(bound.select("v"), "v", "left_semi"))
+    first = placed.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("last")).where("a <> last")
+    near = placed.join(first, "bucket").select("a", F.col("v").alias("b"))
+    cluster = connected(near).select("v", F.col("root").alias("cluster"))
+    known = cluster.join(placed.select("v", "root").distinct(), "v").join(bound, "v")
+    per_root = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = per_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    return cut(known.join(main.where("roots > 1").drop("roots"), "cluster"))
+
+
+def _links_between(left: list[dict], right: list[dict], cfg: NearDedupConfig) -> list[tuple[int, int]]:
+    """Links between vertices of two blocks with different roots, as edges of a forest over the roots."""
+    values = np.concatenate([r["found"] for r in right])
+    owner = np.repeat(np.arange(len(right)), [len(r["found"]) for r in right])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    v, root, size = (np.array([r[c] for r in right]) for c in ("v", "root", "size"))
+    joined: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    edges = []
+    for x in left:
+        low, high = np.searchsorted(values, x["found"], "left"), np.searchsorted(values, x["found"], "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(owner[at], minlength=len(right))
+        linked = (100 * both >= cfg.percent * (size + x["size"] - both)) & (root != x["root"])
+        for i in np.flatnonzero(linked):
+            a, b = find(x["root"]), find(int(root[i]))
+            if a != b:
+                joined[a] = b
+                edges.append((x["v"], int(v[i])))
+    return edges
+
+
+def _late_links(clusters: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """``a, b``: links that join further components, found block by block within each cluster.
+
+    Blocks have a bounded number of shingles. Those of vertices outside the main component
+    meet all blocks of their cluster; what comes out of two blocks is a forest, never
+    their pairs.
+    """
+    blocks = 1 + F.floor(F.sum("size") / cfg.block_shingles)
+    n_blocks = clusters.groupBy("cluster").agg(blocks.cast("bigint").alias("n_blocks"))
+    filled = (
+        clusters.join(n_blocks, "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("v"), F.col("n_blocks")))
+        .join(sets, "v")
+        .withColumn("member", F.struct("v", "root", "size", "found"))
     )
-    found = (
-        outside.join(other, "bucket")
-        .where(wanted)
-        .select(F.least("v", "v_2").alias("a"), F.greatest("v", "v_2").alias("b"))
-        .distinct()
+    per_block = filled.groupBy("cluster", "block", "n_blocks").agg(
+        F.collect_list("member").alias("every"), F.collect_list(F.when(F.col("root") != F.col("main"), F.col("member"))).alias("outside")
     )
-    return cut(found.join(measured.select("a", "b"), ["a", "b"], "left_anti"))
+    per_block = cut(per_block)
+    left = per_block.where(F.size("outside") > 0).select("cluster", "outside", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    pairs = left.join(per_block.select("cluster", "block", "every"), ["cluster", "block"]).select("outside", "every")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                sides = []
+                for name in ("outside", "every"):
+                    column = batch.column(name)[at].values
+                    found, sizes = column.field("found"), column.field("size").to_pylist()
+                    # hashes that two sets share are equal bit by bit, whatever their sign
+                    sides.append(
+                        [
+                            {"v": v, "root": r, "size": n, "found": np.sort(f.values.to_numpy())}
+                            for v, r, n, f in zip(column.field("v").to_pylist(), column.field("root").to_pylist(), sizes, found, strict=True)
+                        ]
+                    )
+                edges = _links_between(*sides, cfg)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"]
+                )
+
+    return cut(pairs.repartition(max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "a bigint, b bigint"))
 
 
 def _result(signed: DataFrame, vertices: DataFrame, components: DataFrame | None) -> DataFrame:
