@@ -50,3 +50,16 @@ def test_an_encoder_runs_once(spark):
     assert plan_of(REGISTERED["hashed_vectors"](spark, SF)).count("ArrowEvalPython") == 1
     plan = plan_of(top_matches(v.vec, v.jobs, CFG))
     assert plan.count("MapInArrow") == 1 and "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("name", ["dedupe_first", "merge_features"])
+def test_first_rows_are_found_without_sorting_whole_rows(spark, name):
+    assert "SortAggregate" not in plan_of(REGISTERED[name](spark, SF))
+
+
+def test_large_tables_are_narrowed_before_they_are_aggregated(spark):
+    v = Views(spark, SF)
+    made = facts.from_tables(v.vec, v.cand, v.roles, v.sig, v.skl, CFG)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # every one of the four tables meets the ids below its aggregation
+    assert plan.count("LeftSemi") == 4
