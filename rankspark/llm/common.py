@@ -51,7 +51,7 @@ def many_small_objects() -> Iterator[None]:
 class Memo(dict):
     """Values computed on first use; emptied when it holds ``limit`` of them, so memory stays bounded."""
 
-    def __init__(self, make: Callable[[Any], Any], limit: int = 500_000) -> None:
+    def __init__(self, make: Callable[[Any], Any], limit: int = 100_000) -> None:
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -62,6 +62,14 @@ class Memo(dict):
         return found
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, and unused memory handed back at the end: workers serve many tasks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def byte_strings(column: pa.Array) -> Iterator[bytes | None]:
     """UTF-8 bytes of a text column, one value in Python's memory at a time."""
     for x in column.cast(pa.large_binary()):

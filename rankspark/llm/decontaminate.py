@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import mix, pick
+from rankspark.llm.common import pick, slices
 from rankspark.session import cut
 
 
@@ -237,7 +237,7 @@ def _search(texts: DataFrame, shared: Broadcast, cfg: DecontaminationConfig, job
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
         index = Index([p for _, _, p in rows], list(range(len(rows))), cfg)
-        for batch in batches:
+        for batch in slices(batches):
             owner, job, number, edits, start = [], [], [], [], []
             for at in range(batch.num_rows):
                 text = batch.column("text")[at].as_py()

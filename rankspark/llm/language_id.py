@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankspark.llm.common import crc_remainder, pick
+from rankspark.llm.common import crc_remainder, pick, slices
 from rankspark.session import cut
 
 UNDETERMINED = "und"
@@ -178,7 +178,7 @@ def predict(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             names, scores, rejected = [], [], []
             for x in batch.column("text"):
                 t = x.as_py()
@@ -206,7 +206,7 @@ def with_language(candidates: DataFrame, model: LanguageModel, text: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x in batch.column(text):
                 t = x.as_py()

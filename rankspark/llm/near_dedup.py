@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import batches_of, byte_strings, connected, hash_memo, is_empty, mix, pick, shingles, word_hashes
+from rankspark.llm.common import batches_of, byte_strings, connected, hash_memo, is_empty, mix, pick, shingles, slices, word_hashes
 from rankspark.session import cut
 
 
@@ -84,7 +84,7 @@ def signatures(texts: DataFrame, cfg: NearDedupConfig) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, sign = hash_memo(), MinMax(cfg)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in byte_strings(batch.column("text")):
                 found = shingles(word_hashes(text or b"", memo), cfg.words)
@@ -106,7 +106,7 @@ def _sets(texts: DataFrame, cfg: NearDedupConfig) -> DataFrame:
         memo = hash_memo()
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in slices(batches):
                 for text in byte_strings(batch.column("text")):
                     found = shingles(word_hashes(text or b"", memo), cfg.words)
                     if len(found):

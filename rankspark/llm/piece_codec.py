@@ -24,7 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from rankspark.llm.common import Memo, many_small_objects, per_worker, pick
+from rankspark.llm.common import Memo, many_small_objects, per_worker, pick, slices
 
 SPACE = "▁"
 
@@ -79,8 +79,8 @@ class PieceEncoder:
                 if j is not None and (cut_ == 1 or j in self.halves):
                     self.shorter[i] = j
                     break
-        self.pairs = Memo(self._compatible, 1_000_000)
-        self.words = Memo(self._word, 600_000)
+        self.pairs = Memo(self._compatible, 200_000)
+        self.words = Memo(self._word, 300_000)
         self.shared = list(range(n))
         self.characters = frozenset(c for c in self.id if len(c) == 1)
 
@@ -263,7 +263,7 @@ def codec_digests(candidates: DataFrame, model: bytes, candidate_id: str = "cand
         codec = encoder(shared.value)
         decode = codec.library.decode
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in slices(batches):
             n, of_ids, of_text = [], [], []
             for x in batch.column("text"):
                 with many_small_objects():

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankspark.llm.common import Memo, pick
+from rankspark.llm.common import Memo, pick, slices
 from rankspark.session import cut
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -108,7 +108,7 @@ def _telling_features(sample: DataFrame, n_texts: dict[int, int], cfg: ToxicityC
     """Features whose share of texts differs between the labels by more than chance, the best first."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda word: features_of(word, cfg), 200_000)
+        memo = Memo(lambda word: features_of(word, cfg), 50_000)
         for batch in batches:
             found: tuple[Counter, Counter] = Counter(), Counter()
             for toxic, x in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
@@ -168,7 +168,7 @@ def fit(
     slot = {f: i for i, f in enumerate(telling)}
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda word: [slot[f] for f in features_of(word, cfg) if f in slot], 200_000)
+        memo = Memo(lambda word: [slot[f] for f in features_of(word, cfg) if f in slot])
         for batch in batches:
             rows, plain = [], []
             for x in batch.column("text"):
@@ -229,7 +229,7 @@ def score(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             made = [scorer(x.as_py() or "") for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -253,7 +253,7 @@ def without_toxic(candidates: DataFrame, model: ToxicityModel, text: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             keep = [scorer(x.as_py() or "")[0] < scorer.model.cfg.threshold for x in batch.column(text)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
