@@ -7,8 +7,8 @@ when the similarity reaches the limit.
 
 Exact copies are one vertex from the start. Within a bucket all members are compared with
 one of them, the hub, and not with each other. Members that do not end up in the hub's
-component are then compared with all others of their cluster that can still be linked with
-anything, in blocks whose result is a forest of links. So a large bucket of mutual copies
+component are then compared with all others of their cluster, in blocks whose result is a
+forest of links. So a large bucket of mutual copies
 costs one comparison per member, no link is lost, and no pairs are written.
 """
 
@@ -180,7 +180,7 @@ def near_duplicates(
         first = _confirm(pairs, sets, cfg)
         links = first.where("linked").select("a", "b")
         components = connected(links)
-        clusters = _open_clusters(members, components, sets, cfg)
+        clusters = _open_clusters(members, components, sets)
         if not is_empty(clusters):
             more = _late_links(clusters, sets, cfg)
             if not is_empty(more):
@@ -188,23 +188,13 @@ def near_duplicates(
     return _result(signed, vertices, components)
 
 
-def _shareable(sets: DataFrame) -> DataFrame:
-    """``v, size, free``: the size of a set, and how many of its shingles another of these sets has, too."""
-    each = sets.select("v", F.explode("found").alias("x")).distinct()
-    shared = each.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
-    free = each.join(shared, "x", "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("free"))
-    sizes = sets.select("v", F.size("found").cast("bigint").alias("size")).distinct()
-    return sizes.join(free, "v", "left").withColumn("free", F.coalesce("free", F.lit(0)))
-
-
 def _open_clusters(
-    members: DataFrame, components: DataFrame, sets: DataFrame, cfg: NearDedupConfig
+    members: DataFrame, components: DataFrame, sets: DataFrame
 ) -> DataFrame:
-    """``cluster, main, v, root, size, free``: vertices that may still have a link to another component.
+    """``cluster, main, v, root, size``: vertices that may still have a link to another component.
 
     Vertices that share buckets are a cluster; ``main`` is its largest component. A bucket
-    whose members are all of the hub's component is settled. So is a vertex that has too
-    many shingles of its own to be linked with any other.
+    whose members are all of the hub's component is settled, and so is a bucket of two.
     """
     label = components.select("v", "root")
     hubs = components.select(F.col("v").alias("hub"), F.col("root").alias("hub_root"))
@@ -213,16 +203,13 @@ def _open_clusters(
         .join(hubs, "hub", "left")
         .select("bucket", "v", F.coalesce("root", "v").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
     )
-    # a bucket of two has had its only comparison
     many = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("root") != F.col("hub_root")).cast("int")).alias("open"))
     placed = cut(placed.join(many.where("n > 2 and open = 1").select("bucket"), "bucket", "left_semi"))
-    bound = _shareable(sets.join(placed.select("v").distinct(), "v", "left_semi"))
-    bound = cut(bound.where(100 * F.col("free") >= cfg.percent * F.col("size")))
-    placed = cut(placed.join(bound.select("v"), "v", "left_semi"))
     first = placed.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("last")).where("a <> last")
     near = placed.join(first, "bucket").select("a", F.col("v").alias("b"))
     cluster = connected(near).select("v", F.col("root").alias("cluster"))
-    known = cluster.join(placed.select("v", "root").distinct(), "v").join(bound, "v")
+    sizes = sets.select("v", F.size("found").cast("bigint").alias("size")).distinct()
+    known = cluster.join(placed.select("v", "root").distinct(), "v").join(sizes, "v")
     per_root = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
     main = per_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     return cut(known.join(main.where("roots > 1").drop("roots"), "cluster"))
