@@ -7,7 +7,7 @@ when the similarity reaches the limit.
 
 Exact copies are one vertex from the start. Within a bucket all members are compared with
 one of them, the hub, and not with each other. Members that do not end up in the hub's
-component are then compared with all others of their cluster, in blocks whose result is a
+component are then compared with all others of their bucket, in blocks whose result is a
 forest of links. So a large bucket of mutual copies
 costs one comparison per member, no link is lost, and no pairs are written.
 """
@@ -180,39 +180,32 @@ def near_duplicates(
         first = _confirm(pairs, sets, cfg)
         links = first.where("linked").select("a", "b")
         components = connected(links)
-        clusters = _open_clusters(members, components, sets)
-        if not is_empty(clusters):
-            more = _late_links(clusters, sets, cfg)
+        unsettled = _open_buckets(members, components, sets)
+        if not is_empty(unsettled):
+            more = _late_links(unsettled, sets, cfg)
             if not is_empty(more):
                 components = connected(links.unionByName(more))
     return _result(signed, vertices, components)
 
 
-def _open_clusters(
-    members: DataFrame, components: DataFrame, sets: DataFrame
-) -> DataFrame:
-    """``cluster, main, v, root, size``: vertices that may still have a link to another component.
+def _open_buckets(members: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """``bucket, main, v, root, size``: members of buckets that may still hold a link between components.
 
-    Vertices that share buckets are a cluster; ``main`` is its largest component. A bucket
-    whose members are all of the hub's component is settled, and so is a bucket of two.
+    ``main`` is the component of the hub. A bucket whose members are all of it is settled,
+    and so is a bucket of two.
     """
     label = components.select("v", "root")
     hubs = components.select(F.col("v").alias("hub"), F.col("root").alias("hub_root"))
     placed = cut(
         members.join(label, "v", "left")
         .join(hubs, "hub", "left")
-        .select("bucket", "v", F.coalesce("root", "v").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+        .select("bucket", "v", F.coalesce("root", "v").alias("root"), F.coalesce("hub_root", "hub").alias("main"))
     )
-    many = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("root") != F.col("hub_root")).cast("int")).alias("open"))
-    placed = cut(placed.join(many.where("n > 2 and open = 1").select("bucket"), "bucket", "left_semi"))
-    first = placed.groupBy("bucket").agg(F.min("v").alias("a"), F.max("v").alias("last")).where("a <> last")
-    near = placed.join(first, "bucket").select("a", F.col("v").alias("b"))
-    cluster = connected(near).select("v", F.col("root").alias("cluster"))
+    outside = F.max((F.col("root") != F.col("main")).cast("int"))
+    many = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), outside.alias("open"))
+    placed = placed.join(many.where("n > 2 and open = 1").select("bucket"), "bucket", "left_semi")
     sizes = sets.select("v", F.size("found").cast("bigint").alias("size")).distinct()
-    known = cluster.join(placed.select("v", "root").distinct(), "v").join(sizes, "v")
-    per_root = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = per_root.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    return cut(known.join(main.where("roots > 1").drop("roots"), "cluster"))
+    return cut(placed.join(sizes, "v"))
 
 
 def _links_between(left: list[dict], right: list[dict], cfg: NearDedupConfig) -> list[tuple[int, int]]:
@@ -244,27 +237,27 @@ def _links_between(left: list[dict], right: list[dict], cfg: NearDedupConfig) ->
     return edges
 
 
-def _late_links(clusters: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
-    """``a, b``: links that join further components, found block by block within each cluster.
+def _late_links(unsettled: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """``a, b``: links that join further components, found block by block within each bucket.
 
     Blocks have a bounded number of shingles. Those of vertices outside the main component
-    meet all blocks of their cluster; what comes out of two blocks is a forest, never
+    meet all blocks of their bucket; what comes out of two blocks is a forest, never
     their pairs.
     """
     blocks = 1 + F.floor(F.sum("size") / cfg.block_shingles)
-    n_blocks = clusters.groupBy("cluster").agg(blocks.cast("bigint").alias("n_blocks"))
+    n_blocks = unsettled.groupBy("bucket").agg(blocks.cast("bigint").alias("n_blocks"))
     filled = (
-        clusters.join(n_blocks, "cluster")
+        unsettled.join(n_blocks, "bucket")
         .withColumn("block", F.pmod(F.xxhash64("v"), F.col("n_blocks")))
         .join(sets, "v")
         .withColumn("member", F.struct("v", "root", "size", "found"))
     )
-    per_block = filled.groupBy("cluster", "block", "n_blocks").agg(
+    per_block = filled.groupBy("bucket", "block", "n_blocks").agg(
         F.collect_list("member").alias("every"), F.collect_list(F.when(F.col("root") != F.col("main"), F.col("member"))).alias("outside")
     )
     per_block = cut(per_block)
-    left = per_block.where(F.size("outside") > 0).select("cluster", "outside", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    pairs = left.join(per_block.select("cluster", "block", "every"), ["cluster", "block"]).select("outside", "every")
+    left = per_block.where(F.size("outside") > 0).select("bucket", "outside", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    pairs = left.join(per_block.select("bucket", "block", "every"), ["bucket", "block"]).select("outside", "every")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
