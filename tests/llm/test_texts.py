@@ -206,3 +206,23 @@ def test_passages_of_jobs(spark):
     assert key(decontaminate.job_passages(texts, jobs, small).collect()) == key(got)
     assert decontaminate.job_passages(texts, jobs.where("false")).count() == 0
     assert decontaminate.job_passages(texts.where("false"), jobs).count() == 0
+
+
+def test_passages_at_any_offset_and_short_texts():
+    rng = random.Random(7)
+    cfg = decontaminate.DecontaminationConfig()
+    jobs = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (233, 394, 80)] + ["c++ dev"]
+    jobs = [decontaminate.normal(j) for j in jobs]
+    pieces = [(k, p, m) for k, j in enumerate(jobs) for p, m in decontaminate.pieces_of(j, cfg)]
+    index = decontaminate.Index([p for _, p, _ in pieces], list(range(len(pieces))), cfg, [m for _, _, m in pieces])
+    windows = [(k, w) for k, j in enumerate(jobs) for w in decontaminate.windows_of(j, cfg)]
+    for k in range(2):
+        for at in range(0, len(jobs[k]) - 50, 29):
+            text = f"xyz{jobs[k][at : at + 25]}!{jobs[k][at + 26 : at + 52]}xyz"
+            want = {n: e for n, (_, w) in enumerate(windows) if len(w) > 9 and (e := _edits(w, text)) <= cfg.budget(len(w))}
+            assert {n: e for n, e, _ in index.search(text)} == want and k in {windows[n][0] for n in want}
+            assert sum(mask.bit_count() for mask, _, _ in index.pieces_in(text).values()) == len(want)
+    # five edits in the middle of a text of 80 characters stand in all its windows of 50
+    assert [windows[n][1] for n, _, _ in index.search(jobs[2][:37] + "!!!!!" + jobs[2][42:])] == [jobs[2]]
+    assert [(windows[n][0], e, s) for n, e, s in index.search("a c++ dev.")] == [(3, 0, 2)]
+    assert not list(index.search("a c++ developer"))
