@@ -2,7 +2,7 @@
 
 Rules name a host and a path; the longest that fits decides. What no rule decides is
 judged by its template: per host the segments of a path become literals or wildcards,
-level by level. A segment that varies (digits, or too small a share of its place) becomes a
+level by level, as deep as the paths of a place differ. A segment that varies (digits, or too small a share of its place) becomes a
 wildcard, and so do branches whose labelled purity cannot be told from that of their place.
 A template is rejected by its share of blocked urls among those that rules label,
 smoothed by the share of the place above it.
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import pick
+from rankspark.llm.common import is_empty, pick
 from rankspark.session import cut
 
 
@@ -39,7 +39,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class TemplateConfig:
-    """``depth`` levels of literals; ``smoothing`` counts as that many labelled urls of the place above."""
+    """At least ``depth`` levels, more where paths go on; ``smoothing`` counts as that many labelled urls of the place above."""
 
     depth: int = 3
     least_share: float = 0.02
@@ -69,49 +69,64 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return text, verdict
 
 
-def segments(path: Column, depth: int) -> list[Column]:
-    """The first segments of a path; those with a digit are wildcards, absent ones are empty."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    found = [F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in range(depth)]
-    return [F.when(F.rlike(s, F.lit("[0-9]")), F.lit(WILDCARD)).otherwise(s) for s in found]
+def segments(path: Column) -> Column:
+    """All segments of a path as an array; those with a digit are wildcards, empty ones at the end are left out."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"/+\z", ""), "^/", ""), "/")
+    return F.transform(parts, lambda s: F.when(F.rlike(s, F.lit("[0-9]")), F.lit(WILDCARD)).otherwise(s))
 
 
 def templates(paths: DataFrame, cfg: TemplateConfig) -> DataFrame:
     """Template and purity of every distinct generalised path.
 
-    ``paths`` has ``host, s1 .. sN, n, n_labelled, n_blocked``. Level by level, the children of
-    a place are compared with the place as a whole, so the cost is one row per child.
+    ``paths`` has ``host, parts, n, n_labelled, n_blocked``. Level by level, the children of
+    a place are compared with the place as a whole, so the cost is one row per child. A place
+    is finished when all its paths have ended or only one is left in it; the others go on.
     """
-    names = [f"s{k}" for k in range(1, cfg.depth + 1)]
     sums = [F.sum(c).alias(c) for c in ("n", "n_labelled", "n_blocked")]
     share_blocked = (F.coalesce(F.sum("n_blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("n_labelled"), F.lit(0)) + 2)
     overall = paths.agg(share_blocked.alias("share")).first()["share"]  # one number
-
-    def of_places(rows: DataFrame, place: list[str]) -> DataFrame:
-        smoothed = (F.col("n_blocked") + cfg.smoothing * F.col("above")) / (F.col("n_labelled") + cfg.smoothing)
-        return rows.groupBy(*place).agg(*sums, F.min("above").alias("above")).withColumn("purity", smoothed)
-
-    now, place = paths.withColumn("above", F.lit(float(overall))), ["host"]
-    for k, name in enumerate(names, 1):
-        whole = of_places(now, place).select(
-            *place,
-            F.col("n").alias("n_place"),
-            F.nullif("n_labelled", F.lit(0)).alias("l_place"),
-            F.col("n_blocked").alias("b_place"),
-            "purity",
+    smoothed = (F.col("n_blocked") + cfg.smoothing * F.col("above")) / (F.col("n_labelled") + cfg.smoothing)
+
+    # a place is written as its host and a step per level; neither holds a slash
+    now = paths.withColumns({"above": F.lit(float(overall)), "place": F.col("host")})
+    known: DataFrame | None = None
+    k = 0
+    while True:
+        whole = (
+            now.groupBy("place")
+            .agg(*sums, F.min("above").alias("above"))
+            .select(
+                "place",
+                F.col("n").alias("n_place"),
+                F.nullif("n_labelled", F.lit(0)).alias("l_place"),
+                F.col("n_blocked").alias("b_place"),
+                smoothed.alias("purity"),
+            )
         )
-        child = now.groupBy(*place, name).agg(*sums).join(whole, place)
+        now = now.withColumn("segment", F.coalesce(F.get("parts", F.lit(k)), F.lit("")))
+        child = now.groupBy("place", "segment").agg(*sums).join(whole, "place")
         labelled, p = F.nullif("n_labelled", F.lit(0)), F.col("b_place") / F.col("l_place")
         differs = F.abs(F.col("n_blocked") / labelled - p) > cfg.z * F.sqrt(p * (1 - p) / labelled)
         large = F.col("n") >= cfg.least_share * F.col("n_place")
-        literal = (F.col(name) != WILDCARD) & large & F.coalesce(differs, F.lit(False))
-        step = F.when(F.col(name) == "", "").when(literal, F.col(name)).otherwise(WILDCARD)
-        decided = child.select(*place, name, step.alias(f"t{k}"), F.col("purity").alias("above"))
-        now = cut(now.drop("above").join(decided, [*place, name]))
-        place = [*place, f"t{k}"]
-    parts = [F.when(F.col(t) != "", F.concat(F.lit("/"), F.col(t))).otherwise("") for t in place[1:]]
-    purity = of_places(now, place).select(*place, "purity")
-    return now.join(purity, place).select("host", *names, F.concat("host", *parts).alias("template"), "purity")
+        literal = (F.col("segment") != WILDCARD) & large & F.coalesce(differs, F.lit(False))
+        step = F.when(F.col("segment") == "", "").when(literal, F.col("segment")).otherwise(WILDCARD)
+        decided = child.select("place", "segment", step.alias("step"), F.col("purity").alias("above"))
+        now = now.drop("above").join(decided, ["place", "segment"]).withColumn("place", F.concat_ws("/", "place", "step"))
+        now = cut(now.drop("segment", "step"))
+        k += 1
+        if k < cfg.depth:
+            continue
+        goes_on = (F.max(F.size("parts")) > k) & (F.count(F.lit(1)) > 1)
+        places = now.groupBy("place").agg(*sums, F.min("above").alias("above"), goes_on.alias("goes_on"))
+        places = cut(places.select("place", smoothed.alias("purity"), "goes_on"))
+        rest = F.slice("parts", F.lit(k + 1), F.greatest(F.size("parts") - k, F.lit(0)))
+        rest = F.array_join(F.transform(rest, lambda s: F.when(s == "", "").otherwise("/" + WILDCARD)), "")
+        template = F.concat(F.regexp_replace(F.regexp_replace("place", "/+", "/"), r"/\z", ""), rest)
+        ended = now.join(places.where("not goes_on"), "place").select("host", "parts", template.alias("template"), "purity")
+        known = ended if known is None else known.unionByName(ended)
+        if is_empty(places.where("goes_on")):
+            return known
+        now = cut(now.join(places.where("goes_on"), "place", "left_semi"))
 
 
 def judge_urls(
@@ -120,25 +135,24 @@ def judge_urls(
     """``key, host, path, rule, verdict, template, purity`` for every row.
 
     ``verdict`` is that of the rule, or else block where the template's purity (its smoothed
-    share of blocked urls) reaches ``block_from``. A null url and one without ``://`` have an
+    share of blocked urls) reaches ``block_from``. Paths are read whole, however deep. A null url and one without ``://`` have an
     empty host and path and share one template. Repeated rows give repeated results; an
     empty table gives an empty result; other columns are not read.
     """
-    names = [f"s{k}" for k in range(1, cfg.depth + 1)]
     rows = pick(urls, **{"key_": key, "url_": url})
     host, path = host_and_path(F.col("url_"))
     rows = rows.select("key_", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("key_", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
-    rows = rows.withColumns(dict(zip(names, segments(F.col("path"), cfg.depth), strict=True)))
-    paths = rows.groupBy("host", *names).agg(
+    rows = rows.withColumn("parts", segments(F.col("path")))
+    paths = rows.groupBy("host", "parts").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("by_rule").alias("n_labelled"),
         F.count_if(F.col("by_rule") == "block").alias("n_blocked"),
     )
     known = templates(cut(paths), cfg)
     by_method = F.when(F.col("purity") >= cfg.block_from, "block").otherwise("allow")
-    return rows.join(known, ["host", *names]).select(
+    return rows.join(known, ["host", "parts"]).select(
         F.col("key_").alias(key),
         "host",
         "path",

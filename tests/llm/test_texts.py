@@ -98,6 +98,19 @@ def test_templates_follow_the_purity_of_their_branch(spark):
     assert unseen_news and {r.verdict for r in unseen_news} == {"allow"}
 
 
+def test_templates_go_as_deep_as_the_paths(spark):
+    deep = "http://d.net/a/b/c/x/y"
+    urls = [(i, f"{deep}/spam/{chr(97 + i)}x/end/") for i in range(25)] + [(100 + i, f"{deep}/help/{chr(97 + i)}y") for i in range(25)]
+    urls += [(200, "http://d.net/a/b/c"), (201, "http://one.net/1/2/a//b/c/")]
+    rules = [url_filter.Rule("block", "d.net", f"/a/b/c/x/y/spam/{chr(97 + i)}x") for i in range(15)]
+    rules += [url_filter.Rule("allow", "d.net", f"/a/b/c/x/y/help/{chr(97 + i)}y") for i in range(15)]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert len(got) == len(urls)
+    assert {(got[i].verdict, got[i].template) for i in range(15, 25)} == {("block", "d.net/*/*/*/*/*/spam/*/*")}
+    assert {(got[100 + i].verdict, got[100 + i].template) for i in range(15, 25)} == {("allow", "d.net/*/*/*/*/*/help/*")}
+    assert (got[200].template, got[201].template) == ("d.net/*/*/*", "one.net/*/*/*/*/*")
+
+
 def _talk(words, n, rng):
     return " ".join(rng.choice(words) for _ in range(n))
 
