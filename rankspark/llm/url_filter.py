@@ -2,7 +2,7 @@
 
 Rules name a host and a path; the longest that fits decides. What no rule decides is
 judged by its template: per host the segments of a path become literals or wildcards,
-level by level, as deep as the paths of a place differ. A segment that varies (digits, or too small a share of its place) becomes a
+level by level, as deep as the paths of a place differ. A segment that varies (digits, or too few urls for its place) becomes a
 wildcard, and so do branches whose labelled purity cannot be told from that of their place.
 A template is rejected by its share of blocked urls among those that rules label,
 smoothed by the share of the place above it.
@@ -39,10 +39,15 @@ class Rule:
 
 @dataclass(frozen=True)
 class TemplateConfig:
-    """At least ``depth`` levels, more where paths go on; ``smoothing`` counts as that many labelled urls of the place above."""
+    """At least ``depth`` levels, more where paths go on; ``smoothing`` counts as that many labelled urls of the place above.
+
+    The z-test judges every branch of ``least_urls`` urls, however large its place; in a small
+    place ``least_share`` of its urls is enough.
+    """
 
     depth: int = 3
     least_share: float = 0.02
+    least_urls: int = 10
     smoothing: float = 4.0
     z: float = 2.0
     block_from: float = 0.5
@@ -107,7 +112,7 @@ def templates(paths: DataFrame, cfg: TemplateConfig) -> DataFrame:
         child = now.groupBy("place", "segment").agg(*sums).join(whole, "place")
         labelled, p = F.nullif("n_labelled", F.lit(0)), F.col("b_place") / F.col("l_place")
         differs = F.abs(F.col("n_blocked") / labelled - p) > cfg.z * F.sqrt(p * (1 - p) / labelled)
-        large = F.col("n") >= cfg.least_share * F.col("n_place")
+        large = F.col("n") >= F.least(F.lit(cfg.least_urls), cfg.least_share * F.col("n_place"))
         literal = (F.col("segment") != WILDCARD) & large & F.coalesce(differs, F.lit(False))
         step = F.when(F.col("segment") == "", "").when(literal, F.col("segment")).otherwise(WILDCARD)
         decided = child.select("place", "segment", step.alias("step"), F.col("purity").alias("above"))

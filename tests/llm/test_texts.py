@@ -111,6 +111,23 @@ def test_templates_go_as_deep_as_the_paths(spark):
     assert (got[200].template, got[201].template) == ("d.net/*/*/*", "one.net/*/*/*/*/*")
 
 
+def test_a_small_branch_of_a_large_place_is_judged_by_its_own_labels(spark):
+    names = [a + b for a in "abcdefghij" for b in "abcdefghij"]
+    urls = [(100 * k + i, f"http://big.net/{n}/{i}") for k, n in enumerate(names) for i in range(20)]
+    rules = [url_filter.Rule("allow", "big.net"), url_filter.Rule("block", "big.net", "/cc/")]
+    # the last ten of each branch have no label
+    rows = spark.createDataFrame(urls, "page_id long, url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    _, verdict = url_filter.rule_of(host, path, rules)
+    paths = rows.select(host.alias("host"), url_filter.segments(path).alias("parts"), F.when(F.col("page_id") % 100 < 10, verdict).alias("v"))
+    paths = paths.groupBy("host", "parts").agg(
+        F.count(F.lit(1)).alias("n"), F.count("v").alias("n_labelled"), F.count_if(F.col("v") == "block").alias("n_blocked")
+    )
+    got = {r.parts[0]: r for r in url_filter.templates(paths, url_filter.TemplateConfig()).collect()}
+    assert got["cc"].template == "big.net/cc/*" and got["cc"].purity > 0.5
+    assert got["aa"].purity < 0.1
+
+
 def _talk(words, n, rng):
     return " ".join(rng.choice(words) for _ in range(n))
 
