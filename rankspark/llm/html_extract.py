@@ -42,6 +42,8 @@ ENDS = {
     "th": {"td", "th"},
     "option": {"option"},
 }
+# what leaves an open head open
+IN_HEAD = frozenset("head title base link meta style script noscript template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 # words of class and id names that mark what is not article text
@@ -77,29 +79,30 @@ def marked_out(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 class Node:
     """An element with its children, which are elements and pieces of text."""
 
-    __slots__ = ("tag", "children", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "out", "children", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str) -> None:
-        self.tag = tag
+    def __init__(self, tag: str, out: bool = False) -> None:
+        self.tag, self.out = tag, out
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 class Tree(HTMLParser):
-    """Builds the tree of what can be article text; tolerates missing and wrong end tags."""
+    """Builds the tree of what can be article text; tolerates missing and wrong end tags.
+
+    A marked-out element is opened and ended like any other, by implied ends too, but is no
+    child of the element around it, so the finished tree lacks it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
-        self.skipped: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skipped:
-            if tag not in VOID:
-                self.skipped.append(tag)
-            return
+        if tag == "body" or tag not in IN_HEAD:
+            self._end_head(tag == "body")
         if tag in ("html", "body"):
             if tag == "body" and len(self.open) == 1:
                 self._push(Node(tag))
@@ -109,52 +112,48 @@ class Tree(HTMLParser):
             self._close_open({"p"} | (HEADINGS if tag in HEADINGS else set()), stop=BLOCK - {"p"} - HEADINGS)
         if tag in ENDS:
             self._close_open(ENDS[tag], stop={"ul", "ol", "dl", "table", "select"})
-        if marked_out(tag, attrs):
-            if tag not in VOID:
-                self.skipped.append(tag)
-            return
-        node = Node(tag)
-        if tag in VOID:
-            self.open[-1].children.append(node)
-        else:
+        node = Node(tag, marked_out(tag, attrs))
+        if tag not in VOID:
             self._push(node)
+        elif not node.out:
+            self.open[-1].children.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # "/" closes nothing in HTML, except for void elements
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            if tag in self.skipped:
-                while self.skipped.pop() != tag:
-                    pass
-            elif any(n.tag == tag for n in self.open[1:]) and tag in BLOCK:
-                self.skipped.clear()
-                self._close(tag)
-            return
-        self._close(tag)
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == tag:
+                del self.open[at:]
+                return
+            if self.open[at].out and tag not in BLOCK:
+                return
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped and data:
+        if data.strip():
+            self._end_head(False)
+        if data:
             self.open[-1].children.append(data)
 
     def _push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
+        if not node.out:
+            self.open[-1].children.append(node)
         self.open.append(node)
 
-    def _close(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                return
+    def _end_head(self, all_in_it: bool) -> None:
+        if len(self.open) > 1 and self.open[1].tag == "head" and (all_in_it or len(self.open) == 2):
+            del self.open[1:]
 
     def _close_open(self, kinds: set[str], stop: frozenset[str] | set[str]) -> None:
+        last = None
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag in kinds:
-                del self.open[at:]
-                return
-            if self.open[at].tag in stop:
-                return
+                last = at
+            elif self.open[at].tag in stop:
+                break
+        if last is not None:
+            del self.open[last:]
 
 
 def parse(html: str) -> Node:

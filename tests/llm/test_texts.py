@@ -45,6 +45,21 @@ def test_the_densest_subtree_wins_without_an_article_element():
     assert html_extract.main_text(html).split("\n") == [f"{'words of the job text ' * 12}{i}" for i in range(5)]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<article><p class="ad">Buy<p>Real text<p>More</article>', "Real text\nMore"),
+        ('<article><ul><li class="share">Share<li>one<li>two</ul></article>', "one\ntwo"),
+        ('<table><tr class="ad"><td>x<td>y<tr><td>real<td class="promo">no<td>yes</table>', "real\nyes"),
+        ("<dl><dd class='ad'>x<dt>term<dd>what it is</dl>", "term\nwhat it is"),
+        ("<head><title>T</title><body><p>text", "text"),
+        ('<p>one <span class="ad">x <i>y</i></span> two</p><div class="ad"><nav>z</nav> z</div>', "one two"),
+    ],
+)
+def test_marked_out_elements_end_like_others(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_extract_job_texts_keeps_every_row(spark):
     rows = spark.createDataFrame(
         [(1, PAGE.format("a"), "x"), (1, PAGE.format("a"), "y"), (None, None, "z")], "job_id long, html string, jd_text string"
