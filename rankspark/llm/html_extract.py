@@ -4,7 +4,8 @@ Every node of a page's tree gets its number of characters, characters inside lin
 and tags that are links. Its density is characters per tag, lowered where much of the
 text is link text; the sum over its children says how much dense text it holds together.
 The threshold is the smallest density on the path from the body to the node with the
-largest density sum; the densest subtree on which every step reaches it is the article.
+largest density sum; the subtree around that node, climbed to while what is added reaches
+it, is the article. ``article`` and ``main`` elements bound this climb, see ``select``.
 What is never article text (menus, headers, footers, sidebars, forms, scripts and the like,
 by tag, role or class) is taken out of the tree before anything is counted.
 """
@@ -202,8 +203,11 @@ def select(root: Node) -> Node:
 
     The node with the largest density sum is where the article's blocks hang. Blocks of the
     article that hang elsewhere are reached by climbing: a node joins its parent while what
-    the parent adds is for the most part as dense as the threshold. An enclosing
-    ``article`` or ``main`` element ends the climb at itself.
+    the parent adds is for the most part as dense as the threshold. An ``article`` or ``main``
+    element is not selected for its tag. It only ends a climb that has come to it, unless
+    an ``article`` as dense as the threshold stands outside of it; and up to the outermost one
+    short blocks (headings, closing lines) join as well, so what is added need only be text
+    that is for the most part no links.
     """
     nodes = measure(root)
     parent = {id(c): n for n in nodes for c in n.children if isinstance(c, Node)}
@@ -212,17 +216,26 @@ def select(root: Node) -> Node:
     while id(path[-1]) in parent:
         path.append(parent[id(path[-1])])
     threshold = min(n.density for n in path)
-    enclosing = [n for n in path if n.tag in ("article", "main")]
-    if enclosing:
-        return enclosing[0]
-    for above in path[1:]:
-        others = [c for c in above.children if isinstance(c, Node) and c is not best]
-        added = above.chars - best.chars
-        dense = sum(c.chars for c in others if c.density >= threshold)
-        if 2 * dense < added:
-            break
-        best = above
-    return best
+    held: dict[int, int] = {}  # dense articles in a subtree
+    for n in reversed(nodes):
+        own = n.tag == "article" and n.chars > 0 and n.density >= threshold
+        held[id(n)] = own + sum(held[id(c)] for c in n.children if isinstance(c, Node))
+    around = sum(n.tag == "article" for n in path)  # articles on the path are as dense as the threshold
+    outermost = max((at for at, n in enumerate(path) if n.tag in ("article", "main")), default=0)
+    for at, (below, above) in enumerate(zip(path, path[1:])):
+        if below.tag in ("article", "main"):
+            around -= below.tag == "article"
+            if held[id(below)] + around == held[id(root)]:
+                return below
+        others = [c for c in above.children if isinstance(c, Node) and c is not below]
+        added = above.chars - below.chars
+        if at < outermost:
+            joins = added - (above.link_chars - below.link_chars)
+        else:
+            joins = sum(c.chars for c in others if c.density >= threshold)
+        if 2 * joins < added:
+            return below
+    return path[-1]
 
 
 def blocks(node: Node) -> list[str]:

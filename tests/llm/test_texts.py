@@ -45,6 +45,20 @@ def test_the_densest_subtree_wins_without_an_article_element():
     assert html_extract.main_text(html).split("\n") == [f"{'words of the job text ' * 12}{i}" for i in range(5)]
 
 
+def test_an_article_in_several_elements_is_kept_whole():
+    part = lambda k, n: f"<article><h2>Part {k}</h2><p>{f'words of part {k} ' * n}.</p><p>Closing line {k}.</p></article>"
+    text = lambda k, n: [f"Part {k}", f"{f'words of part {k} ' * n}.", f"Closing line {k}."]
+    links = "<div>" + "".join(f"<a href='{i}'>link {i}</a> " for i in range(30)) + "</div>"
+    for before, after in (("<main>", "</main>"), ("", "")):
+        html = f"<body>{links}{before}{part(1, 30)}{part(2, 40)}{part(3, 25)}{after}</body>"
+        got = html_extract.main_text(html).split("\n")
+        assert [x for x in got if not x.startswith("link")] == text(1, 30) + text(2, 40) + text(3, 25)
+        assert before == "" or not any(x.startswith("link") for x in got)
+    # the densest subtree is selected, not the element named article around it
+    wrapped = f"<body><article>{links * 9}<div><p>{'words of the text ' * 30}</p><p>{'more of the text ' * 30}</p></div></article></body>"
+    assert "link" not in html_extract.main_text(wrapped)
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
