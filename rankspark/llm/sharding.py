@@ -20,6 +20,8 @@ from rankspark.session import cut
 
 # hexadecimal digits of a hash that make a draw: 52 bits, exact in a double
 _DIGITS = 13
+# shards of a layout as it begins
+PLANNED = 40
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class Node:
         return 1 + max((c.depth() for c in self.children), default=0)
 
 
-def layout(shards: int, planned: int = 40, racks: int = 2, per_rack: int = 4) -> Node:
+def layout(shards: int, planned: int = PLANNED, racks: int = 2, per_rack: int = 4) -> Node:
     """The tree for a number of shards, which alone decides it.
 
     The first ``planned`` shards fill regions of ``racks`` racks with ``per_rack`` shards
@@ -104,12 +106,15 @@ def shard_candidates(
     candidate_id: str = "candidate_id",
     text: str = "text",
     rows_per_sort: int = 200_000,
+    planned: int | None = None,
 ) -> DataFrame:
     """``candidate_id, size, text_crc32, law, shard, slot, grown_shard`` for every row.
 
     ``size`` is the UTF-8 length of the text plus 16 and ``text_crc32`` the unsigned checksum
     of its bytes. The law is ``key``: the id and the number of shards decide the shard, and
-    ``grown_shard``, for one more shard, differs only where it is the new one. ``slot``
+    ``grown_shard``, for one more shard, differs only where it is the new one. For that the
+    first ``planned`` shards must be those that the layout began with: 40, or ``shards`` if
+    that is fewer. Who began with fewer and adds shards later goes on to name that number. ``slot``
     numbers the rows of a shard without gaps from 0, by a hash and then the id, so a shard is
     never sorted by one task.
 
@@ -117,6 +122,9 @@ def shard_candidates(
     share a shard; repeated ids share one, too. Rows that are equal in everything get
     different slots. An empty table gives an empty result; other columns are not read.
     """
+    planned = min(shards, PLANNED) if planned is None else planned
+    if not 0 < planned <= shards:
+        raise ValueError("planned must be from 1 to the number of shards")
     rows = pick(candidates, candidate_id=candidate_id, text=text)
     key = F.coalesce(F.col("candidate_id").cast("string"), F.lit(""))
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -126,8 +134,8 @@ def shard_candidates(
             (F.octet_length(body) + 16).cast("bigint").alias("size"),
             F.crc32(body).alias("text_crc32"),
             F.lit("key").alias("law"),
-            place(key, layout(shards)).cast("int").alias("shard"),
-            place(key, layout(shards + 1)).cast("int").alias("grown_shard"),
+            place(key, layout(shards, planned)).cast("int").alias("shard"),
+            place(key, layout(shards + 1, planned)).cast("int").alias("grown_shard"),
         )
     )
     parts = 1 + placed.count() // (shards * rows_per_sort)

@@ -139,3 +139,14 @@ def test_weights_move_rows_between_changed_subtrees_only(spark):
     assert moved.where("y in (0, 1) and x in (0, 1)").count() == 0
     assert moved.where("x in (0, 1, 20, 21) and y in (20, 21)").count() == 0
     assert moved.where("y in (10, 11)").count() > 0
+
+
+def test_one_more_shard_below_the_planned_number(spark):
+    table = spark.range(3000).select(F.col("id").alias("candidate_id"), F.lit("x").alias("text"))
+    twelve = {r.candidate_id: r for r in sharding.shard_candidates(table, 12).collect()}
+    assert {r.grown_shard for r in twelve.values() if r.grown_shard != r.shard} == {12}
+    more = {r.candidate_id: r for r in sharding.shard_candidates(table, 13, planned=12).collect()}
+    assert all(r.shard == twelve[i].grown_shard for i, r in more.items())
+    assert {r.grown_shard for r in more.values() if r.grown_shard != r.shard} == {13}
+    with pytest.raises(ValueError):
+        sharding.shard_candidates(table, 12, planned=40)
