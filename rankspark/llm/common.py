@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     pa.default_memory_pool().release_unused()
 
 
+def slices_by_bytes(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have about ``most_bytes`` bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        until = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(at, until - at)
+        at = until
+    pa.default_memory_pool().release_unused()
+
+
 def byte_strings(column: pa.Array) -> Iterator[bytes | None]:
     """UTF-8 bytes of a text column, one value in Python's memory at a time."""
     for x in column.cast(pa.large_binary()):

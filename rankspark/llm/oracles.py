@@ -7,6 +7,7 @@ those against brute force, round trips and held-out labels.
 
 from __future__ import annotations
 
+from rankspark.llm.fill_middle import FillConfig
 from rankspark.llm.queries import RULES
 from rankspark.llm.sharding import Node, layout
 from rankspark.llm.url_filter import LOWER, UPPER, TemplateConfig
@@ -209,7 +210,85 @@ FROM docs AS d JOIN summed AS s USING (nr) JOIN now AS n USING (nr) JOIN grown A
 """
 
 
+def divergence_sql(least_texts: int = 10, top_terms: int = 10) -> str:
+    """``//`` on 128-bit integers: all values are whole numbers."""
+    share = lambda n, size: f"1 + 1000000000::HUGEINT * ({n} + 2) // ({size})"
+    return rf"""
+WITH
+    docs AS (
+        SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+        FROM documents
+    ),
+    every AS (SELECT nr, lang, source, unnest(ts) AS term FROM docs),
+    kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM every GROUP BY lang, term HAVING count(DISTINCT nr) >= {least_texts}),
+    counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM every GROUP BY ALL),
+    places AS (SELECT DISTINCT lang, source FROM docs),
+    vocabulary AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n_all FROM kept GROUP BY lang),
+    filled AS (
+        SELECT p.lang, p.source, k.term, k.total, coalesce(c.n, 0)::HUGEINT AS n
+        FROM places AS p JOIN kept AS k ON k.lang = p.lang
+        LEFT JOIN counts AS c ON c.lang = p.lang AND c.source = p.source AND c.term = k.term
+    ),
+    sizes AS (SELECT lang, source, sum(n)::HUGEINT AS n_own FROM filled GROUP BY lang, source),
+    shares AS (
+        SELECT f.lang, f.source, f.term, f.n, {share("f.n", "s.n_own + 2 * v.v")} AS p, {share("f.total", "v.n_all + 2 * v.v")} AS q
+        FROM filled AS f JOIN sizes AS s ON s.lang = f.lang AND s.source = f.source JOIN vocabulary AS v ON v.lang = f.lang
+    ),
+    priced AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM shares AS a JOIN shares AS b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+    ),
+    both_parts AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+        FROM places AS a JOIN places AS b ON b.lang = a.lang AND b.source <> a.source
+        LEFT JOIN priced AS p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+    ),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts
+    )
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= {top_terms}
+"""
+
+
+def fill_in_middle_sql(cfg: FillConfig = FillConfig()) -> str:
+    p, s, m = cfg.prefix_mark, cfg.suffix_mark, cfg.middle_mark
+    group = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    return rf"""
+WITH
+    docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{cfg.seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    split AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units FROM docs),
+    drawn AS (
+        SELECT *, len(units)::BIGINT AS n, {group(0)} % (len(units) + 1) AS k1, {group(1)} % (len(units) + 1) AS k2,
+            {group(2)} % 100 AS d3, {group(3)} % 100 AS d4
+        FROM split
+    ),
+    parts AS (
+        SELECT doc_id, text, n, CASE
+                WHEN text = '' OR contains(text, '{p}') OR contains(text, '{s}') OR contains(text, '{m}') OR d3 >= {cfg.fill_percent} THEN 'plain'
+                WHEN d4 < {cfg.suffix_first_percent} THEN 'spm' ELSE 'psm' END AS form,
+            coalesce(array_to_string(units[1:least(k1, k2)], ''), '') AS prefix,
+            coalesce(array_to_string(units[least(k1, k2) + 1:greatest(k1, k2)], ''), '') AS middle,
+            coalesce(array_to_string(units[greatest(k1, k2) + 1:], ''), '') AS suffix
+        FROM drawn
+    )
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form
+        WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle
+        WHEN 'spm' THEN '{s}' || suffix || '{p}' || prefix || '{m}' || middle
+        ELSE text END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_fill_in_middle": fill_in_middle_sql(),
+    "op11_source_divergence": divergence_sql(),
     "op6_sharding": sharding_sql(),
     "op2_url_filter": url_filter_sql(),
     "op3_near_dedup": near_dedup_sql(),

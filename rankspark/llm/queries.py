@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from rankspark.llm import (
     decontaminate,
+    divergence,
     embedding_dedup,
+    fill_middle,
     html_extract,
     language_id,
     near_dedup,
+    packing,
     piece_codec,
     sharding,
     token_output,
@@ -115,6 +118,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", is_held.alias("held_out"), "score", "predicted", "sentences")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "text", "lang", "source")
+    made = divergence.company_divergence(spread(docs), current_industry="lang", current_company="source")
+    return back(made, current_industry="lang", current_company="source")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
+    definition = token_output.load_definition(public_tokenizers.path("word_bpe_49k.json"))
+    made = packing.pack_candidates(docs, definition, candidate_id="doc_id").withColumn("ids", F.crc32("ids"))
+    return back(made, candidate_id="doc_id", ids="ids_crc32", candidate_tokens="doc_tokens")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
+    made = back(fill_middle.fill_in_middle(docs, candidate_id="doc_id"), candidate_id="doc_id", n_lines="n")
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -128,5 +158,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_output,
         op9_sentencepiece,
         op10_toxicity,
+        op11_source_divergence,
+        op12_packing,
+        op13_fill_in_middle,
     )
 }

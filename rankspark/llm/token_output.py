@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from rankspark.llm.common import many_small_objects, per_worker, pick
+from rankspark.llm.common import many_small_objects, per_worker, pick, slices_by_bytes
 from rankspark.session import cut
 
 
@@ -48,6 +48,7 @@ class TokenConfig:
     sample_texts: int = 1000
     sample_bytes: int = 20_000
     segment_bytes: int = 4 << 20
+    bytes_per_batch: int = 4 << 20
     rows_per_task: int = 10_000
 
 
@@ -114,7 +115,7 @@ class WordTokenizer:
             return [np.frombuffer(x, dtype=np.uint32) for x in self._encode(texts.to_pylist())]
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         numbered = parts.flatten().dictionary_encode()
-        of_word = self._of_words(numbered.dictionary.to_pylist())
+        of_word = self._of_words(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
         length = np.fromiter(map(len, of_word), dtype=np.int64, count=len(of_word)) // 4
         pool, first = np.frombuffer(b"".join(of_word), dtype=np.uint32), np.cumsum(length) - length
         word = numbered.indices.to_numpy()
@@ -234,8 +235,7 @@ def write_tokens(
             if arrow is None:
                 entry = pa.struct([("candidate_id", batch.schema.field("candidate_id").type), ("offset", pa.int64()), ("length", pa.int64()), ("n_tokens", pa.int64())])
                 arrow = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("dictionary_hash", pa.string()), ("frames", pa.binary()), ("index", pa.list_(entry))])
-            for at in range(0, batch.num_rows, 512):
-                few = batch.slice(at, 512)
+            for few in slices_by_bytes(batch, "text", cfg.bytes_per_batch):
                 with many_small_objects():
                     found = encode(few.column("text"))
                 for name, ids in zip(few.column("candidate_id").to_pylist(), found, strict=True):
