@@ -306,6 +306,17 @@ PARTS |= {
         """SELECT doc_id, CAST(('0x' || substr(sha256(token), 1, 16))::UBIGINT % 384 AS BIGINT) AS bucket, count(*) AS n_tokens
            FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) t GROUP BY ALL""",
     ),
+    "doc_tokens": (
+        (),
+        """SELECT doc_id, token, count(*) AS n_tokens
+           FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) t GROUP BY ALL""",
+    ),
+    "item_tokens": (
+        (),
+        """SELECT item_id, token, count(*) AS n_tokens
+           FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM benchmark) t GROUP BY ALL""",
+    ),
+    "doc_lengths": (("doc_tokens",), "SELECT doc_id, sqrt(sum(n_tokens * n_tokens)::DOUBLE) AS n FROM doc_tokens GROUP BY 1"),
     "item_buckets": (
         (),
         """SELECT item_id, CAST(('0x' || substr(sha256(token), 1, 16))::UBIGINT % 384 AS BIGINT) AS bucket, count(*) AS n_tokens
@@ -633,6 +644,30 @@ oracle(
     "item_buckets",
 )
 
+oracle(
+    "posting_lists",
+    f"""SELECT token AS term, count(*) AS n_texts, {_r6("max(n_tokens / n)")} AS max_weight
+        FROM doc_tokens JOIN doc_lengths USING (doc_id) GROUP BY 1""",
+    "doc_tokens",
+    "doc_lengths",
+)
+oracle(
+    "token_similarity_topk",
+    f"""SELECT job_id, doc_id, sem_score, row_number() OVER (PARTITION BY job_id ORDER BY sem_score DESC, doc_id) AS recall_rank
+        FROM (SELECT i.item_id AS job_id, d.doc_id, {_r6("coalesce(dots.s / (i.n * l.n), 0)")} AS sem_score
+              FROM documents d
+              CROSS JOIN (SELECT b.item_id, sqrt(sum(t.n_tokens * t.n_tokens)::DOUBLE) AS n
+                          FROM benchmark b LEFT JOIN item_tokens t ON t.item_id = b.item_id GROUP BY 1) i
+              LEFT JOIN doc_lengths l ON l.doc_id = d.doc_id
+              LEFT JOIN (SELECT item_id, doc_id, sum(a.n_tokens * b.n_tokens)::DOUBLE AS s
+                         FROM doc_tokens a JOIN item_tokens b USING (token) GROUP BY ALL) dots
+                ON dots.item_id = i.item_id AND dots.doc_id = d.doc_id) p
+        QUALIFY recall_rank <= {TEXT_CFG.recall_k}""",
+    "doc_tokens",
+    "doc_lengths",
+    "item_tokens",
+)
+
 # Factors and scores
 oracle("mult_consulting", "SELECT candidate_id, f_consulting FROM factors", "factors")
 oracle("mult_hopper", "SELECT candidate_id, f_hopper FROM factors", "factors")

@@ -12,12 +12,12 @@ from rankspark.config import RankConfig
 from rankspark.functions import career, hashing, text, vectors
 from rankspark.functions.vectors import HashedTokens
 from rankspark.operators import facts as facts_
-from rankspark.operators import quality, ranking, reasoning, rules, scoring, skills
+from rankspark.operators import quality, ranking, reasoning, rules, scoring, similarity, skills
 from rankspark.operators.recall import missing_records, score_summary, top_matches
 from rankspark.plans import ranking as runs
 from rankspark.plans.views import Views
 from rankspark.session import cut, scratch_path
-from rankspark.sources import candidates, features, jobs, ranked_csv
+from rankspark.sources import candidates, features, jobs, postings, ranked_csv
 
 # Sizes for the test tables: every tier and both cuts occur.
 CFG = RankConfig(recall_k=200, top_n=20, top_tier_until=4, mid_tier_until=16, score_digits=6)
@@ -451,6 +451,28 @@ def text_similarity_topk(v: Views) -> DataFrame:
     )
 
 
+def posting_index(v: Views) -> postings.Index:
+    """Posting lists over the tokens of all documents."""
+    path = scratch_path(v.spark, "postings")
+    docs = v.wide_table("documents").select(F.col("doc_id").alias("candidate_id"), "text")
+    postings.write(docs, path)
+    return postings.read(v.spark, path)
+
+
+@query
+def posting_lists(v: Views) -> DataFrame:
+    """Number of documents and largest weight per token."""
+    lists = postings.list_summary(posting_index(v).blocks)
+    return lists.select("term", "n_texts", r6("max_weight").alias("max_weight"))
+
+
+@query
+def token_similarity_topk(v: Views) -> DataFrame:
+    """Documents most similar to every benchmark text by whole tokens, through posting lists."""
+    items = v.table("benchmark").select(F.col("item_id").alias("job_id"), F.col("text").alias("jd_text"))
+    return similarity.similar_texts(posting_index(v), items, TEXT_CFG).withColumnRenamed("candidate_id", "doc_id")
+
+
 # Factors and scores
 
 
