@@ -40,6 +40,8 @@ class RankConfig:
     max_reason_chars: int = 240
     skills_named: int = 3
     denied_skills: tuple[str, ...] = fixed.DENIED_SKILLS
+    # tokens (words and single other characters) of a job text that skills meet by equality; longer skills are compared with the text
+    longest_skill_run: int = 8
 
     # rows of running best matches that one task may hold; more queries mean more passes
     recall_state_rows: int = 1_000_000
@@ -49,6 +51,6 @@ class RankConfig:
     bound_from_tasks: int = 64
 
     def __post_init__(self) -> None:
-        for name in ("recall_k", "top_n", "max_reason_chars", "tasks_per_merge", "score_digits"):
+        for name in ("recall_k", "top_n", "max_reason_chars", "tasks_per_merge", "score_digits", "longest_skill_run"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive, got {getattr(self, name)}")

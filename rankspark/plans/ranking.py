@@ -94,15 +94,10 @@ def rank_records(records: DataFrame, vectors: DataFrame, jobs: DataFrame, cfg: R
     recalled = recall(vectors, jobs, cfg)
     chosen = narrow(records, recalled, "candidate_id")
     top = cut(best(mark(recalled, facts_.from_records(chosen, cfg), cfg), cfg))
-    matched = skills.matched_in(F.col("skills"), F.col("jd_lower"), cfg)
-    return (
-        by_key(top, "job_id", top.count())
-        .join(jobs.select("job_id", F.lower("jd_text").alias("jd_lower")), "job_id")
-        .withColumn("matched", matched)
-        .withColumn("named_skills", F.slice("matched", 1, cfg.skills_named))
-        .withColumn("matched_set", F.array_distinct(F.transform("matched", F.lower)))
-        .drop("jd_lower", "matched", "skills")
-    )
+    own = top.select("candidate_id", "skills").dropDuplicates(["candidate_id"])
+    skl = own.select("candidate_id", F.posexplode("skills").alias("pos", "skill"))
+    named = skills.named_skills(skills.matched_rows(top, jobs, skl, cfg), cfg)
+    return by_key(top.drop("skills").join(named, ["job_id", "candidate_id"], "left"), "job_id", top.count())
 
 
 def explain_rows(ranked: DataFrame, cfg: RankConfig) -> DataFrame:

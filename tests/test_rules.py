@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +190,40 @@ def test_sizes_must_be_positive():
     for bad in (dict(recall_k=0), dict(top_n=-1)):
         with pytest.raises(ValueError):
             RankConfig(**bad)
+
+
+ODD_SKILLS = [
+    "c++", "c#", ".net", "c", "r", "go", "node.js", "asp.net", "++", "a", "machine learning", "日本", "é", "é日", "tf-idf",
+    "o'reilly", "<b>", "\\d", "x" * 50, "one two three four five six", "one two three four five sixty", "c++ and c# and .net core 8", "-",
+]
+
+
+@pytest.mark.parametrize("longest", [1, 3, 8])
+def test_skills_meet_job_texts_by_equality(spark, longest):
+    """The same pairs as a pattern per skill and text."""
+    rng = random.Random(longest)
+    parts = [*ODD_SKILLS, " ", ", ", "(", ")", ".", "\n", "1", "C++11", "gopher", "Asp.Net", "R&D", "x", "+", "HR", "marketing"]
+    jobs = [(n, "".join(rng.choice(parts) + rng.choice(["", " ", ","]) for _ in range(rng.randrange(1, 30)))) for n in range(150)]
+    jobs += [(900, ""), (901, "c++"), (902, ".net"), (903, None), (904, "one two three four five six")]
+    cfg = RankConfig(longest_skill_run=longest)
+    texts = spark.createDataFrame(jobs, "job_id long, jd_text string")
+    held = spark.createDataFrame([(s,) for s in [*ODD_SKILLS, "hr", "marketing", "", "none such"]], "skill_lower string")
+    got = {(r.job_id, r.skill_lower) for r in skills.named_by_jobs(held, texts, cfg).collect()}
+
+    def stands(s, t):
+        return re.search(r"(?<![a-z0-9])" + re.escape(s) + r"(?![a-z0-9])", t.lower())
+
+    names = [s for s in ODD_SKILLS if s not in cfg.denied_skills]
+    assert got == {(n, s) for n, t in jobs if t for s in names if stands(s, t)}
+    assert len(got) > 300
+
+
+def test_no_text_travels_with_skills(spark):
+    """Job texts are cut into runs before any exchange; only the rare long skills meet a text."""
+    pairs = spark.createDataFrame([(1, "a")], "job_id long, candidate_id string")
+    jobs = spark.createDataFrame([(1, "Go and C++")], "job_id long, jd_text string")
+    skl = spark.createDataFrame([("a", " C++ ", 2), ("a", "Go", 1), ("a", "go", 3), ("a", None, 4), ("b", "Go", 1)], "candidate_id string, skill string, pos int")
+    assert sorted(tuple(r) for r in skills.matched_rows(pairs, jobs, skl, CFG).collect()) == [(1, "a", "C++", 2), (1, "a", "Go", 1), (1, "a", "go", 3)]
+    held = skl.select(F.lower("skill").alias("skill_lower"))
+    plan = skills.word_runs(jobs, 8).join(held, F.col("run") == F.col("skill_lower"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(skill" not in plan and "jd_text" not in plan.split("Join")[1].split("Aggregate")[0]
