@@ -608,6 +608,25 @@ oracle(
        QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY channel NOT IN ('view', 'click'), source_pos) = 1""",
     "valid_arrivals",
 )
+oracle(
+    "bucketed_merge",
+    """SELECT candidate_id, source_pos, channel, amount FROM valid_arrivals
+       QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY channel NOT IN ('view', 'click'), source_pos) = 1""",
+    "valid_arrivals",
+)
+oracle(
+    "bucketed_todo",
+    """SELECT candidate_id, 'm1' AS model, sha256(candidate_id) AS text_hash FROM cand
+       WHERE c_custkey NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)""",
+    "cand",
+)
+oracle(
+    "stream_ingest",
+    """SELECT concat('CAND_', lpad(CAST(id AS VARCHAR), 7, '0')) AS candidate_id, doc_id % 2 AS batch_id, source AS headline,
+              length(text) AS summary_chars, CAST(doc_id % 100 AS DOUBLE) AS notice_days
+       FROM (SELECT *, doc_id - CASE WHEN doc_id % 23 = 13 THEN 1 ELSE 0 END AS id FROM documents WHERE doc_id % 23 NOT IN (5, 7, 9, 11)) d
+       QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id % 2, doc_id) = 1""",
+)
 oracle(
     "count_consistency",
     """SELECT (SELECT count(*) FROM cand) AS record_rows, (SELECT count(DISTINCT candidate_id) FROM cand) AS record_ids,

@@ -18,6 +18,8 @@ from rankspark.plans import ranking as runs
 from rankspark.plans.views import Views
 from rankspark.session import cut, scratch_path
 from rankspark.sources import candidates, features, jobs, postings, ranked_csv
+from rankspark.sources.bucketed import BucketedStore
+from rankspark.streaming.keyed import ingest_first
 
 # Sizes for the test tables: every tier and both cuts occur.
 CFG = RankConfig(recall_k=200, top_n=20, top_tier_until=4, mid_tier_until=16, score_digits=6)
@@ -376,6 +378,59 @@ def incremental_todo(v: Views) -> DataFrame:
     return features.todo(wanted, done, ["candidate_id", "model", "text_hash"])
 
 
+@query
+def bucketed_todo(v: Views) -> DataFrame:
+    """The same question to a store in buckets, whose side is not shuffled."""
+    wanted = v.cand.select("candidate_id", F.lit("m1").alias("model"), F.sha2("candidate_id", 256).alias("text_hash"))
+    made_for = F.concat(F.lit("CAND_"), F.lpad(F.col("vec_id").cast("string"), 7, "0"))
+    done = v.table("embeddings").select(
+        made_for.alias("candidate_id"),
+        F.when(F.col("label") % 2 == 0, F.lit("m1")).otherwise(F.lit("m0")).alias("model"),
+        F.sha2(made_for, 256).alias("text_hash"),
+        "embedding",
+    )
+    return BucketedStore.create(done, scratch_path(v.spark, "bucketed"), buckets=8).todo(wanted)
+
+
+@query
+def bucketed_merge(v: Views) -> DataFrame:
+    """Arrivals of two kinds merged into a store in buckets, which is compacted after."""
+    rows = scan_valid_ids(v)
+    earlier = F.col("channel").isin("view", "click")
+    store = BucketedStore.create(candidates.keep_first(rows.where(earlier)), scratch_path(v.spark, "bucketed"), buckets=8)
+    store.merge(rows.where(~earlier))
+    store.compact()
+    return store.read()
+
+
+@query
+def stream_ingest(v: Views) -> DataFrame:
+    """Raw lines through the stream in two runs: those of documents with odd numbers come late, the first file with them again."""
+    folder = scratch_path(v.spark, "stream")
+    lines = cut(v.lines.withColumn("late", F.col("source_pos") % 2))
+
+    def put(late: int, name: str) -> None:
+        some = lines.where(F.col("late") == late).repartitionByRange(4, "source_pos").sortWithinPartitions("source_pos")
+        some.select("value").write.mode("append").text(f"{folder}/in/{name}")
+
+    def run() -> None:
+        ingest_first(v.spark, f"{folder}/in/*", f"{folder}/out", f"{folder}/progress", make_encoder=None).awaitTermination()
+
+    put(0, "a")
+    run()
+    put(1, "b")
+    put(0, "c")
+    run()
+    found = v.spark.read.parquet(f"{folder}/out/records")
+    return found.select(
+        "candidate_id",
+        "batch_id",
+        F.col("profile.headline").alias("headline"),
+        F.length("profile.summary").cast("bigint").alias("summary_chars"),
+        F.col("signals.notice_period_days").alias("notice_days"),
+    )
+
+
 # Repeats, merges, counts
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +72,20 @@ def by_key(df: DataFrame, key: str, rows: int, rows_per_task: int = 500) -> Data
     return df.repartition(max(1, min(most, rows // rows_per_task)), key)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the time of one action, and as it was before afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def narrow(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Keep the rows of a large table whose key is in a set of ids.
 
