@@ -70,3 +70,37 @@ def tidy(c: Column) -> Column:
     c = F.regexp_replace(c, r"\( +", "(")
     c = F.regexp_replace(c, r"(?:, *)+([;.)])", "$1")
     return strip(c)
+
+
+def fixed_decimals(c: Column, digits: int = 6) -> Column:
+    """``%.<digits>f`` of a double, rounded on its exact binary value, halves to even.
+
+    ``format_string`` rounds the shortest decimal text of a number, which may lie on the other side of a
+    half. Here the fraction is split into two halves of 26 bits (Veltkamp), whose products with the power
+    of ten are exact, so that the comparison with one half is too. Exact below 2**63 and
+    for up to 7 digits; larger numbers are formatted by Spark.
+    """
+    if not 0 <= digits <= 7:
+        raise ValueError(f"0 to 7 digits, got {digits}")
+    scale = float(10**digits)
+    x = F.abs(c.cast("double"))
+    whole = F.floor(x)
+    part = x - whole.cast("double")
+    wide = part * F.lit(134217729.0)
+    high = wide - (wide - part)
+    a, b = high * F.lit(scale), (part - high) * F.lit(scale)
+    below = F.floor(a)
+    over = a - below.cast("double") - F.lit(0.5)
+    up = (over > -b) | ((over == -b) & (below % 2 == 1))
+    if digits == 0:  # the half belongs to the whole number itself
+        up = (part > 0.5) | ((part == 0.5) & (whole % 2 == 1))
+        below = F.lit(0).cast("bigint")
+    n = below + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    carried = whole + F.when(n >= int(scale), F.lit(1)).otherwise(F.lit(0)) if digits else whole + n
+    shown = carried.cast("string")
+    if digits:
+        shown = F.concat(shown, F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0"))
+    sign = F.when(F.startswith(c.cast("double").cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    finite = F.when(x < float(2**63), shown).otherwise(F.format_string(f"%.{digits}f", x))
+    known = F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, finite))
+    return F.when(c.isNotNull(), known)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankspark import constants as fixed
+from rankspark.functions import text
 from rankspark.schema import RANKED_CSV
 from rankspark.session import cut
 
@@ -21,7 +22,7 @@ def output_rows(ranked: DataFrame) -> DataFrame:
         "job_id",
         "candidate_id",
         "rank",
-        F.format_string("%.6f", "score").alias("score"),
+        text.fixed_decimals(F.col("score"), 6).alias("score"),
         reason.alias("reasoning"),
     )
 
@@ -40,19 +41,36 @@ def require_full(ranked: DataFrame, jobs: DataFrame, n: int) -> None:
         raise ShortResult(f"{n} rows needed, found {[(r['job_id'], r['n_rows'] or 0) for r in short]}")
 
 
+def csv_field(c: Column) -> Column:
+    """A field with quotes only where it needs them, as in RFC 4180."""
+    return F.when(F.rlike(c, F.lit('[,"\r\n]')), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """``job_id, rank, value``: the lines of the file of each job, with the header as rank 0."""
+    fields = [csv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in fixed.OUTPUT_COLUMNS]
+    body = rows.select("job_id", F.col("rank").cast("int").alias("rank"), F.concat_ws(",", *fields).alias("value"))
+    head = rows.select("job_id").distinct().select("job_id", F.lit(0).alias("rank"), F.lit(",".join(fixed.OUTPUT_COLUMNS)).alias("value"))
+    return head.unionByName(body)
+
+
 def write(ranked: DataFrame, path: str, jobs: DataFrame, n: int) -> None:
-    """Write all jobs side by side, each job sorted by rank. Unless every job has n rows, nothing is written."""
+    """Write all jobs side by side, each job sorted by rank. Unless every job has n rows, nothing is written.
+
+    Lines end with CRLF, line feeds within sentences stay as they are, and only fields that need quotes
+    have them.
+    """
     rows = cut(output_rows(ranked))
     require_full(rows, jobs, n)
     (
-        rows
+        csv_lines(rows)
         .repartition("job_id")
         .sortWithinPartitions("job_id", "rank")
+        .select("job_id", "value")
         .write.mode("overwrite")
         .partitionBy("job_id")
-        .option("header", True)
-        .option("escape", '"')
-        .csv(path)
+        .option("lineSep", "\r\n")
+        .text(path)
     )
 
 

@@ -227,3 +227,19 @@ def test_no_text_travels_with_skills(spark):
     held = skl.select(F.lower("skill").alias("skill_lower"))
     plan = skills.word_runs(jobs, 8).join(held, F.col("run") == F.col("skill_lower"))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE(skill" not in plan and "jd_text" not in plan.split("Join")[1].split("Aggregate")[0]
+
+
+@pytest.mark.parametrize("digits", [0, 2, 6, 7])
+def test_decimals_are_those_of_the_binary_value(spark, digits):
+    rng = random.Random(digits)
+    odd = [0.1234565, 0.5, 1.5, 2.5, 0.0000005, -0.0, 0.0, 1 / 128, 3 / 128, 127 / 128, 0.9999995, 0.99999949999, 1e-320, 5e-7, float("nan")]
+    odd += [float("inf"), -float("inf"), 2.0**52 + 0.5, 2.0**53 + 2, -1.0000005, 123456789.1234565, 9.2e18, -0.4999999, 0.125, 0.375]
+    odd += [k / 128 for k in range(300)] + [k * 5e-7 for k in range(300)] + [k * 0.005 for k in range(300)]
+    made = [rng.random() for _ in range(60_000)] + [rng.uniform(-1e6, 1e6) for _ in range(20_000)]
+    made += [round(rng.random(), 7) for _ in range(20_000)] + [rng.random() * 10.0 ** rng.randrange(-12, 15) for _ in range(10_000)]
+    values_ = odd + made
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values_)] + [(-1, None)], "k long, v double").repartition(8)
+    got = {r.k: r.s for r in df.select("k", text.fixed_decimals(F.col("v"), digits).alias("s")).collect()}
+    assert got.pop(-1) is None
+    wrong = [(v, got[k], f"{v:.{digits}f}") for k, v in enumerate(values_) if got[k] != f"{v:.{digits}f}"]
+    assert not wrong, wrong[:5]

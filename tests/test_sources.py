@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import gzip
+import io
 import json
 
 import pytest
@@ -183,6 +185,25 @@ def test_csv_round_trip(spark, tmp_path):
     assert ranked_csv.header_of(spark, f"{path}/job_id=1") == list(fixed.OUTPUT_COLUMNS)
 
 
+def test_files_are_those_of_a_csv_writer(spark, tmp_path):
+    """Byte for byte: CRLF, quotes only where needed, rounding of the exact value."""
+    odd = ['x, "q" y', "plain", "line\nfeed", " lead", 'say "hi"', "\\back", "cr\rx", "#x", "crlf\r\nx", "tail "]
+    rows = [(1, f"c{k}", k, 1.0 - 0.0000005 * k, t) for k, t in enumerate(odd, 1)]
+    ranked = spark.createDataFrame(rows, "job_id long, candidate_id string, rank int, score double, reasoning string")
+    path = str(tmp_path / "out")
+    ranked_csv.write(ranked.repartition(4), path, ranked.select("job_id").distinct(), len(odd))
+    (file,) = (tmp_path / "out" / "job_id=1").glob("part-*")
+    want = io.StringIO(newline="")
+    out = csv.writer(want)
+    out.writerow(fixed.OUTPUT_COLUMNS)
+    out.writerows((c, k, f"{s:.6f}", t) for _, c, k, s, t in rows)
+    assert file.read_bytes().decode() == want.getvalue()
+    back = {r.rank: r.reasoning for r in ranked_csv.read(spark, path).collect()}
+    assert [back[k].replace("\r\n", "\n").replace("\r", "\n").strip() for k in range(1, len(odd) + 1)] == [
+        t.replace("\r\n", "\n").replace("\r", "\n").strip() for t in odd
+    ]
+
+
 def test_short_results_are_refused(spark, tmp_path):
     want = spark.createDataFrame([(1,), (5,)], "job_id long")
     with pytest.raises(ranked_csv.ShortResult):
