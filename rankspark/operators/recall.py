@@ -20,10 +20,12 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from rankspark.config import RankConfig
 from rankspark.functions.vectors import unit_rows
-from rankspark.session import cut
+from rankspark.session import cut, tasks_of
 
 
 class DuplicateJob(ValueError):
@@ -91,13 +93,21 @@ def _candidate_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("candidate_id", F.col("embedding").cast("array<float>"))
 
 
-def _local_best(vectors: DataFrame, shared: Broadcast, k: int, cfg: RankConfig, bounds: dict | None = None) -> DataFrame:
-    """K best rows per job and task. ``shared`` holds job ids and their matrix.
+def _kinds(vectors: DataFrame, queries: DataFrame) -> tuple[DataType, DataType]:
+    """Types of the ids of jobs and candidates: any that Spark can sort."""
+    return queries.schema["job_id"].dataType, vectors.schema["candidate_id"].dataType
+
+
+def _local_best(
+    vectors: DataFrame, shared: Broadcast, kinds: tuple[DataType, DataType], k: int, cfg: RankConfig, bounds: dict | None = None
+) -> DataFrame:
+    """K best rows per job and task. ``shared`` holds job ids and their matrix, ``kinds`` the types of ids.
 
     ``bounds`` has a score per job below which no row can be among the best K of all tasks.
     """
     bounds = bounds or {}
     digits = cfg.score_digits
+    job_type, id_type = map(to_arrow_type, kinds)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         jobs, q = shared.value
@@ -121,14 +131,19 @@ def _local_best(vectors: DataFrame, shared: Broadcast, k: int, cfg: RankConfig,
             if len(scores):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([jobs[j]] * len(scores), pa.int64()),
-                        pa.array(ids.tolist(), pa.string()),
+                        pa.array([jobs[j]] * len(scores), job_type),
+                        pa.array(ids.tolist(), id_type),
                         pa.array(scores, pa.float64()),
                     ],
                     names=["job_id", "candidate_id", "sem_score"],
                 )
 
-    return _candidate_vectors(vectors).mapInArrow(run, "job_id bigint, candidate_id string, sem_score double")
+    return _candidate_vectors(vectors).mapInArrow(run, _schema(kinds))
+
+
+def _schema(kinds: tuple[DataType, DataType]) -> str:
+    job, candidate = (k.simpleString() for k in kinds)
+    return f"job_id {job}, candidate_id {candidate}, sem_score double"
 
 
 def best_per_job(rows: DataFrame, k: int, order: list, salts: int = 1) -> DataFrame:
@@ -153,24 +168,24 @@ def best_per_job(rows: DataFrame, k: int, order: list, salts: int = 1) -> DataFr
 def top_matches(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> DataFrame:
     """``(job_id, candidate_id, sem_score, recall_rank)``: exact top K per job, ties by id.
 
-    ``vectors`` has ``candidate_id, embedding`` and ``queries`` has ``job_id, job_vec``.
+    ``vectors`` has ``candidate_id, embedding`` and ``queries`` has ``job_id, job_vec``; ids may be of any type.
     Jobs of different blocks have nothing in common, so with more than one block each
     pass is finished and stored before the next block is fetched.
     """
     order = [F.desc("sem_score"), F.asc("candidate_id")]
-    tasks = vectors.rdd.getNumPartitions()
+    tasks, kinds = tasks_of(vectors), _kinds(vectors, queries)
 
     def one_pass(block: tuple[list, np.ndarray]) -> tuple[DataFrame, Broadcast]:
         shared = vectors.sparkSession.sparkContext.broadcast(block)
-        bounds = _bounds(vectors, shared, tasks, order, cfg)
-        rows = _local_best(vectors, shared, cfg.recall_k, cfg, bounds)
+        bounds = _bounds(vectors, shared, kinds, tasks, order, cfg)
+        rows = _local_best(vectors, shared, kinds, cfg.recall_k, cfg, bounds)
         return best_per_job(rows, cfg.recall_k, order, -(-tasks // cfg.tasks_per_merge)), shared
 
     blocks = query_blocks(queries, cfg)
     first, second = next(blocks, None), next(blocks, None)
     if first is None:
         return vectors.sparkSession.createDataFrame(
-            [], "job_id bigint, candidate_id string, sem_score double, recall_rank int"
+            [], f"{_schema(kinds)}, recall_rank int"
         )
     if second is None:
         return one_pass(first)[0]
@@ -182,7 +197,9 @@ def top_matches(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> Data
     return reduce(DataFrame.unionByName, found)
 
 
-def _bounds(vectors: DataFrame, shared: Broadcast, tasks: int, order: list, cfg: RankConfig) -> dict:
+def _bounds(
+    vectors: DataFrame, shared: Broadcast, kinds: tuple[DataType, DataType], tasks: int, order: list, cfg: RankConfig
+) -> dict:
     """The K-th best score per job over a share of the candidates: a bound for the K-th best of all.
 
     With few tasks their own K rows per job are few enough, and nothing is computed.
@@ -190,7 +207,7 @@ def _bounds(vectors: DataFrame, shared: Broadcast, tasks: int, order: list, cfg:
     if tasks < cfg.bound_from_tasks:
         return {}
     share = vectors.where(F.pmod(F.xxhash64("candidate_id"), F.lit(64)) == 0)
-    best = best_per_job(_local_best(share, shared, cfg.recall_k, cfg), cfg.recall_k, order, -(-tasks // cfg.tasks_per_merge))
+    best = best_per_job(_local_best(share, shared, kinds, cfg.recall_k, cfg), cfg.recall_k, order, -(-tasks // cfg.tasks_per_merge))
     last = best.where(F.col("recall_rank") == cfg.recall_k).select("job_id", "sem_score")
     return {r["job_id"]: r["sem_score"] for r in last.collect()}  # one number per job of the block
 
@@ -198,7 +215,9 @@ def _bounds(vectors: DataFrame, shared: Broadcast, tasks: int, order: list, cfg:
 def score_summary(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> DataFrame:
     """Per job: how many candidates were compared, and the lowest, highest and mean similarity."""
     sc = vectors.sparkSession.sparkContext
-    schema = "job_id bigint, n bigint, low double, high double, total double"
+    job_kind = queries.schema["job_id"].dataType
+    job_type = to_arrow_type(job_kind)
+    schema = f"job_id {job_kind.simpleString()}, n bigint, low double, high double, total double"
 
     def one_pass(block: tuple[list, np.ndarray]) -> tuple[DataFrame, Broadcast]:
         shared = sc.broadcast(block)
@@ -214,7 +233,7 @@ def score_summary(vectors: DataFrame, queries: DataFrame, cfg: RankConfig) -> Da
                     low, high = np.minimum(low, s.min(axis=1)), np.maximum(high, s.max(axis=1))
             if n:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(jobs, pa.int64()), pa.array([n] * len(jobs), pa.int64())]
+                    [pa.array(jobs, job_type), pa.array([n] * len(jobs), pa.int64())]
                     + [pa.array(x, pa.float64()) for x in (low, high, total)],
                     names=["job_id", "n", "low", "high", "total"],
                 )

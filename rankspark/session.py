@@ -60,10 +60,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_of(df: DataFrame) -> int:
+    """How many tasks the last stage of a plan has, without running any of it.
+
+    Asking a plan with an exchange for its partitions would run the stages below; such plans
+    end in as many tasks as the session shuffles to.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.rdd.getNumPartitions()
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A bare scan over fewer splits than cores, dealt out to all cores; larger scans stay as they are."""
+    """A scan over fewer splits than cores, dealt out to all cores; larger ones stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if tasks_of(scan) >= cores else scan.repartition(cores)
 
 
 def by_key(df: DataFrame, key: str, rows: int, rows_per_task: int = 500) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankspark.config import RankConfig
 from rankspark.operators import quality, ranking, reasoning, rules
-from rankspark.operators.recall import DuplicateJob, MissingVector, top_matches
+from rankspark.operators.recall import DuplicateJob, MissingVector, score_summary, top_matches
 from rankspark.plans import ranking as runs
 from rankspark.plans.queries import CFG as VIEW_CFG
 from rankspark.plans.views import Views
@@ -272,3 +272,36 @@ def test_funnel_counts_missing_records(spark):
     marked = spark.createDataFrame([(1, "a", None), (1, "b", "x")], "job_id long, candidate_id string, drop_reason string")
     r = rules.funnel(recalled, marked, 5).first()
     assert (r.recalled, r.missing, r.dropped, r.kept, r.retained) == (3, 1, 1, 1, 1)
+
+
+def test_ids_of_any_type(spark):
+    """Text ids of jobs and whole-number ids of candidates, as the recall of other types."""
+    vecs = spark.createDataFrame([(n, [float(n % 7), 1.0, float(n % 3)]) for n in range(100)], "candidate_id long, embedding array<double>")
+    jobs = spark.createDataFrame([("one", [1.0, 2.0, 0.0]), ("two", [0.0, 0.0, 1.0])], "job_id string, job_vec array<double>")
+    cfg = RankConfig(recall_k=5)
+    got = sorted(tuple(r) for r in top_matches(vecs, jobs, cfg).collect())
+    number = F.when(F.col("job_id") == "one", 1).otherwise(2).cast("long").alias("job_id")
+    usual = top_matches(
+        vecs.select(F.lpad(F.col("candidate_id").cast("string"), 3, "0").alias("candidate_id"), "embedding"), jobs.select(number, "job_vec"), cfg
+    )
+    assert got == sorted(({1: "one", 2: "two"}[r.job_id], int(r.candidate_id), r.sem_score, r.recall_rank) for r in usual.collect())
+    assert [r.n_scored for r in score_summary(vecs, jobs, cfg).collect()] == [100, 100]
+    assert top_matches(vecs, jobs.where("false"), cfg).count() == 0
+
+
+def test_no_work_before_the_action(spark):
+    """A plan with a join below is not run to count its partitions."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("quiet", "quiet")
+    try:
+        left = spark.range(100).select(F.col("id").alias("candidate_id"))
+        right = spark.range(100).select(F.col("id").alias("candidate_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+        jobs = spark.createDataFrame([(1, [1.0, 1.0])], "job_id long, job_vec array<double>")
+        made = top_matches(left.join(right, "candidate_id"), jobs, RankConfig(recall_k=3))
+        # fetching the vectors of the jobs is all that has run
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("quiet")) <= 2
+        assert made.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
