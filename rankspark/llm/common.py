@@ -63,6 +63,29 @@ class Memo(dict):
         return found
 
 
+class Recent(dict):
+    """Values computed on first use, of which the last ``limit`` to twice as many stay.
+
+    When ``limit`` are held, they become the elder generation and those of the one before are dropped; a value
+    that is used again moves to the younger one. So what is used often is not computed anew.
+    """
+
+    def __init__(self, make: Callable[[Any], Any], limit: int) -> None:
+        super().__init__()
+        self.make, self.limit = make, limit
+        self.elder: dict = {}
+
+    def __missing__(self, key: Any) -> Any:
+        found = self.elder.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.limit:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, and unused memory handed back at the end: workers serve many tasks."""
     for batch in batches:

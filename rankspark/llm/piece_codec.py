@@ -20,11 +20,12 @@ from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from rankspark.llm.common import Memo, many_small_objects, per_worker, pick, slices
+from rankspark.llm.common import Recent, many_small_objects, per_worker, pick, slices
 
 SPACE = "▁"
 
@@ -79,9 +80,9 @@ class PieceEncoder:
                 if j is not None and (cut_ == 1 or j in self.halves):
                     self.shorter[i] = j
                     break
-        self.pairs = Memo(self._compatible, 200_000)
-        self.words = Memo(self._word, 300_000)
-        self.shared = list(range(n))
+        self.pairs = Recent(self._compatible, 150_000)
+        self.words = Recent(self._word, 400_000)
+        self.shown = list(map(str, range(n)))
         self.characters = frozenset(c for c in self.id if len(c) == 1)
 
     def _learn_merges(self) -> None:
@@ -164,7 +165,8 @@ class PieceEncoder:
         """Ids of a piece; a character that is no piece becomes its bytes."""
         return [i] if i < self.n_pieces else [self.bytes[b] for b in self.text[i].encode("utf-8")]
 
-    def _word(self, word: str) -> tuple[str, tuple[int, ...]]:
+    def _word(self, word: str) -> str:
+        """Decimal ids joined by commas: much smaller to remember than numbers."""
         if self.characters.issuperset(word):
             found = self._search(word)
         else:
@@ -175,14 +177,18 @@ class PieceEncoder:
                 found.extend((self.bytes[b] for b in run.encode("utf-8")) if unknown else self._search(run))
         if found and max(found) >= self.n_pieces:
             found = list(chain.from_iterable(map(self._spell, found)))
-        shared = self.shared
-        return ",".join(map(str, found)), tuple([shared[i] for i in found])
+        shown = self.shown
+        return ",".join([shown[i] for i in found])
 
     _SPLIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
     _SPLIT_SPACE = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     def encode(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
         """Ids of a text, word by word: as decimal text joined by commas and as numbers."""
+        return [(w, tuple(map(int, w.split(",")))) for w in self.encode_words(text)]
+
+    def encode_words(self, text: str) -> list[str]:
+        """Ids of a text, word by word, as decimal text joined by commas."""
         if not text:
             return []
         marked = SPACE + text.replace(" ", SPACE)
@@ -193,6 +199,11 @@ class PieceEncoder:
         return list(map(self.words.__getitem__, split.findall(marked)))
 
 
+def numbers(joined: str) -> np.ndarray:
+    """Ids from their decimal text."""
+    return np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.empty(0, dtype=np.int32)
+
+
 def encoder(model: bytes) -> PieceEncoder:
     return per_worker(f"pieces {hashlib.sha256(model).hexdigest()}", lambda: PieceEncoder(model))
 
@@ -223,7 +234,7 @@ def encode_candidates(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [[i for _, w in codec.encode(x.as_py() or "") for i in w] for x in part.column("text")]
+                ids = [numbers(",".join(codec.encode_words(x.as_py() or ""))) for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("candidate_id"), pa.array(ids, pa.list_(pa.int32()))], names=["candidate_id", "ids"]
                 )
@@ -267,10 +278,10 @@ def codec_digests(candidates: DataFrame, model: bytes, candidate_id: str = "cand
             n, of_ids, of_text = [], [], []
             for x in batch.column("text"):
                 with many_small_objects():
-                    found = codec.encode(x.as_py() or "")
-                ids = list(chain.from_iterable([w for _, w in found]))
+                    joined = ",".join(codec.encode_words(x.as_py() or ""))
+                ids = numbers(joined).tolist()
                 n.append(len(ids))
-                of_ids.append(sha(",".join([s for s, _ in found]).encode("ascii")).hexdigest())
+                of_ids.append(sha(joined.encode("ascii")).hexdigest())
                 of_text.append(sha((decode(ids) if ids else "").encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("candidate_id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)],
