@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -54,36 +55,54 @@ NOT_ARTICLE_WORDS = frozenset(
     " cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login"
     " comment comments reply replies disqus respond share sharing social related recommended widget".split()
 )
+# what such a word stands before in the names of boxes: "share-buttons", but not "share-price"
+BOX_WORDS = frozenset(
+    "area bar bars bottom box block blocks body button buttons card cards container content form frame group grid holder icon icons"
+    " inner item items label left link links list lists main nav outer panel popup post posts region right row section slot"
+    " strip text thread title toggle top unit widget widgets wrap wrapper zone"
+    " ad ads banner footer header menu message notice overlay sidebar".split()
+)
+LAYOUT_WORDS = frozenset("fixed sticky static open closed visible hidden primary secondary small large wide narrow inline mobile desktop".split())
 _NAME_PARTS = re.compile(r"[^a-z0-9-]+")
 _SPACE = re.compile(r"\s+")
 
 
-def marked_out(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element is never part of the article."""
+def marked_out(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """Whether an element is no part of the article: ``never``, ``maybe`` (unless it is around most of the page) or empty.
+
+    ``maybe`` are forms, which some layouts put around the whole page, and names that only begin with a listed word, of
+    which some name layouts ("sidebar-right", "header-fixed").
+    """
+    if tag == "form":
+        return "maybe"
     if tag in NO_TEXT:
-        return True
+        return "never"
     if tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    found = ""
     for name, value in attrs:
         value = (value or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "never"
         if name == "role" and value in NOT_ARTICLE_ROLES:
-            return True
+            return "never"
         if name in ("class", "id") and value:
             for whole in _NAME_PARTS.split(value):
-                if whole in NOT_ARTICLE_WORDS or whole.split("-", 1)[0] in NOT_ARTICLE_WORDS:
-                    return True
-    return False
+                if whole in NOT_ARTICLE_WORDS:
+                    return "never"
+                first, *more = whole.split("-")
+                if more and first in NOT_ARTICLE_WORDS and (more[-1] in BOX_WORDS | NOT_ARTICLE_WORDS | LAYOUT_WORDS or not more[-1].isalpha()):
+                    found = "maybe"
+    return found
 
 
 class Node:
     """An element with its children, which are elements and pieces of text."""
 
-    __slots__ = ("tag", "out", "children", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "out", "maybe", "children", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, out: bool = False) -> None:
-        self.tag, self.out = tag, out
+    def __init__(self, tag: str, mark: str = "") -> None:
+        self.tag, self.out, self.maybe = tag, mark == "never", mark == "maybe"
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
@@ -100,6 +119,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.open_tags: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "body" or tag not in IN_HEAD:
@@ -124,9 +144,11 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open_tags[tag]:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
-                del self.open[at:]
+                self._close_from(at)
                 return
             if self.open[at].out and tag not in BLOCK:
                 return
@@ -141,29 +163,51 @@ class Tree(HTMLParser):
         if not node.out:
             self.open[-1].children.append(node)
         self.open.append(node)
+        self.open_tags[node.tag] += 1
+
+    def _close_from(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.open_tags[node.tag] -= 1
+        del self.open[at:]
 
     def _end_head(self, all_in_it: bool) -> None:
         if len(self.open) > 1 and self.open[1].tag == "head" and (all_in_it or len(self.open) == 2):
-            del self.open[1:]
+            self._close_from(1)
 
     def _close_open(self, kinds: set[str], stop: frozenset[str] | set[str]) -> None:
-        last = None
+        last, left = None, sum(self.open_tags[k] for k in kinds)
         for at in range(len(self.open) - 1, 0, -1):
+            if not left:
+                break
             if self.open[at].tag in kinds:
-                last = at
+                last, left = at, left - 1
             elif self.open[at].tag in stop:
                 break
         if last is not None:
-            del self.open[last:]
+            self._close_from(last)
 
 
 def parse(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    _prune(tree.root)
     return tree.root
 
 
+def _prune(root: Node) -> None:
+    """Take out the elements that may be no part of the article, unless they hold most of what is left of the page's text."""
+    nodes = _in_order(root)
+    if not any(n.maybe for n in nodes):
+        return
+    chars: dict[int, int] = {}
+    for node in reversed(nodes):
+        chars[id(node)] = sum(chars[id(c)] if isinstance(c, Node) else len(_SPACE.sub("", c)) for c in node.children)
+    half = chars[id(root)] / 2
+    for node in nodes:
+        node.children = [c for c in node.children if not (isinstance(c, Node) and c.maybe and chars[id(c)] <= half)]
+
+
 def _in_order(root: Node) -> list[Node]:
     """All elements, parents before children, without recursion (pages may be nested very deeply)."""
     found = [root]

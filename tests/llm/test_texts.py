@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -285,3 +286,37 @@ def test_passages_at_any_offset_and_short_texts():
     assert [windows[n][1] for n, _, _ in index.search(jobs[2][:37] + "!!!!!" + jobs[2][42:])] == [jobs[2]]
     assert [(windows[n][0], e, s) for n, e, s in index.search("a c++ dev.")] == [(3, 0, 2)]
     assert not list(index.search("a c++ developer"))
+
+
+_BODY = "<p>" + "Real words of the article. " * 12 + "</p>"
+_AROUND = "Real words of the article. " * 12
+
+
+@pytest.mark.parametrize(
+    "opening, closing",
+    [
+        ('<div class="sidebar-right">', "</div>"),
+        ('<div id="page" class="wrap header-fixed">', "</div>"),
+        ('<div class="social-policy">', "</div>"),
+        ('<form id="aspnetForm" action="/">', "</form>"),
+        ('<div class="share-price">', "</div>"),
+    ],
+)
+def test_layouts_around_the_page_are_kept(opening, closing):
+    html = f'<body>{opening}<div class="menu">Home About</div><article>{_BODY}{_BODY}</article><div class="share-buttons">Tweet</div>{closing}</body>'
+    want = "\n".join([_AROUND.strip()] * 2)
+    assert html_extract.main_text(html) == want
+    assert html_extract.main_text(f"<body><article>{_BODY}{_BODY}</article></body>") == want
+
+
+def test_a_form_and_a_box_beside_the_article_go():
+    html = f'<body><form>Search here</form><article>{_BODY}<div class="share-price">Price 12</div><div class="share-bar">Share me</div>{_BODY}</article></body>'
+    text = html_extract.main_text(html)
+    assert "Price 12" in text and "Search" not in text and "Share me" not in text
+
+
+@pytest.mark.parametrize("html", ["<i>" * 20_000 + "</b>" * 20_000, "</b>" * 100_000, "<div>" * 20_000 + "x" + "</span></div>" * 20_000])
+def test_wrong_end_tags_take_no_time(html):
+    t0 = time.process_time()
+    html_extract.main_text(f"<body><article>{_BODY}</article>{html}</body>")
+    assert time.process_time() - t0 < 3
