@@ -48,7 +48,7 @@ class TokenConfig:
     sample_texts: int = 1000
     sample_bytes: int = 20_000
     segment_bytes: int = 4 << 20
-    bytes_per_batch: int = 1 << 20
+    bytes_per_batch: int = 2 << 20
     rows_per_task: int = 10_000
 
 
