@@ -10,10 +10,14 @@ one of them, the hub, and not with each other. Members that do not end up in the
 component are then compared with all others of their bucket, in blocks whose result is a
 forest of links. So a large bucket of mutual copies
 costs one comparison per member, no link is lost, and no pairs are written.
+
+Sets of sizes that are too far apart cannot reach the limit, whatever they share, so such
+pairs are left out before any set travels; buckets with the same members are one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -39,7 +43,7 @@ class NearDedupConfig:
     bands: int = 32
     band_rows: int = 5
     seed: int = 11
-    block_shingles: int = 50_000
+    block_shingles: int = 250_000
 
     def __post_init__(self) -> None:
         if not (self.words > 0 and 0 < self.percent <= 100 and self.bands > 0 and self.band_rows > 0):
@@ -117,9 +121,16 @@ def _sets(texts: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     return texts.mapInArrow(run, "digest binary, found array<bigint>")
 
 
-def _member_sets(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, cfg: NearDedupConfig) -> DataFrame:
-    """``v, found``: full sets of all vertices that stand in a pair, made from their whole texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+def _of_like_size(pairs: DataFrame, vertices: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """The pairs ``a, b`` whose sizes allow a link: no union is smaller than the larger set, no intersection larger than the smaller."""
+    one = vertices.select(F.col("v").alias("a"), F.col("size").alias("size_a"))
+    two = vertices.select(F.col("v").alias("b"), F.col("size").alias("size_b"))
+    fits = 100 * F.least("size_a", "size_b") >= cfg.percent * F.greatest("size_a", "size_b")
+    return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b")
+
+
+def _member_sets(ends: DataFrame, texts: DataFrame, vertices: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """``v, found``: full sets of the vertices ``v``, made from their whole texts."""
     needed = cut(vertices.join(ends, "v", "left_semi").select("v", "digest", F.col("candidate_id").alias("rep")))
     same = F.col("candidate_id").eqNullSafe(F.col("rep"))
     texts = texts.join(needed.select("rep").distinct(), same, "left_semi")
@@ -161,7 +172,7 @@ def near_duplicates(
     with_words = signed.where("n_shingles > 0")
     vertices = cut(
         with_words.groupBy("digest")
-        .agg(F.min("candidate_id").alias("candidate_id"))
+        .agg(F.min("candidate_id").alias("candidate_id"), F.first("n_shingles").alias("size"))
         .withColumn("v", F.monotonically_increasing_id())
     )
 
@@ -172,27 +183,31 @@ def near_duplicates(
         banded.groupBy("bucket").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub <> last").drop("last")
     )
     members = cut(banded.join(shared, "bucket").distinct())
-    pairs = cut(members.where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct())
+    met = members.where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
+    pairs = cut(_of_like_size(met, vertices, cfg))
 
     components = None
-    if not is_empty(pairs):
-        sets = _member_sets(pairs, texts, vertices, cfg)
-        first = _confirm(pairs, sets, cfg)
+    if not is_empty(members):
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+        first = _confirm(pairs, _member_sets(ends, texts, vertices, cfg), cfg)
         links = first.where("linked").select("a", "b")
         components = connected(links)
-        unsettled = _open_buckets(members, components, sets)
+        unsettled = _open_buckets(members, components, vertices, cfg)
         if not is_empty(unsettled):
+            sets = _member_sets(unsettled.select("v").distinct(), texts, vertices, cfg)
             more = _late_links(unsettled, sets, cfg)
             if not is_empty(more):
                 components = connected(links.unionByName(more))
     return _result(signed, vertices, components)
 
 
-def _open_buckets(members: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+def _open_buckets(members: DataFrame, components: DataFrame, vertices: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     """``bucket, main, v, root, size``: members of buckets that may still hold a link between components.
 
     ``main`` is the component of the hub. A bucket whose members are all of it is settled,
-    and so is a bucket of two.
+    and so is a bucket of two. A member stays if a member of another component is near it
+    in size; classes of size are so wide that a link never passes over one. Of buckets
+    with the same members one stays.
     """
     label = components.select("v", "root")
     hubs = components.select(F.col("v").alias("hub"), F.col("root").alias("hub_root"))
@@ -204,8 +219,24 @@ def _open_buckets(members: DataFrame, components: DataFrame, sets: DataFrame) ->
     outside = F.max((F.col("root") != F.col("main")).cast("int"))
     many = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), outside.alias("open"))
     placed = placed.join(many.where("n > 2 and open = 1").select("bucket"), "bucket", "left_semi")
-    sizes = sets.select("v", F.size("found").cast("bigint").alias("size")).distinct()
-    return cut(placed.join(sizes, "v"))
+    width = math.log(100 / cfg.percent * 1.0001)
+    size_class = F.floor(F.log("size") / width).alias("size_class")
+    placed = cut(placed.join(vertices.select("v", "size"), "v").select("*", size_class))
+
+    per_class = placed.groupBy("bucket", "size_class").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    near = F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class")
+    live = (
+        per_class.select("bucket", near, "low", "high")
+        .groupBy("bucket", "size_class")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .where("low <> high")
+    )
+    placed = cut(placed.join(live, ["bucket", "size_class"], "left_semi").drop("size_class"))
+    # two independent 64-bit sums per bucket stand for its members, as digests stand for sets
+    sums = [F.sum(F.xxhash64(F.lit(seed), "v").cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    same = placed.groupBy("bucket").agg(*sums, F.count(F.lit(1)).alias("n"))
+    chosen = same.groupBy("s1", "s2", "n").agg(F.min("bucket").alias("bucket"))
+    return cut(placed.join(chosen.select("bucket"), "bucket", "left_semi"))
 
 
 def _links_between(left: list[dict], right: list[dict], cfg: NearDedupConfig) -> list[tuple[int, int]]:
@@ -240,9 +271,9 @@ def _links_between(left: list[dict], right: list[dict], cfg: NearDedupConfig) ->
 def _late_links(unsettled: DataFrame, sets: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     """``a, b``: links that join further components, found block by block within each bucket.
 
-    Blocks have a bounded number of shingles. Those of vertices outside the main component
-    meet all blocks of their bucket; what comes out of two blocks is a forest, never
-    their pairs.
+    Blocks have a bounded number of shingles. A bucket of one block, the usual case, is compared where it
+    is gathered. In larger ones the vertices outside the main component meet all blocks of
+    their bucket; what comes out of two blocks is a forest, never their pairs.
     """
     blocks = 1 + F.floor(F.sum("size") / cfg.block_shingles)
     n_blocks = unsettled.groupBy("bucket").agg(blocks.cast("bigint").alias("n_blocks"))
@@ -253,32 +284,39 @@ def _late_links(unsettled: DataFrame, sets: DataFrame, cfg: NearDedupConfig) ->
         .withColumn("member", F.struct("v", "root", "size", "found"))
     )
     per_block = filled.groupBy("bucket", "block", "n_blocks").agg(
-        F.collect_list("member").alias("every"), F.collect_list(F.when(F.col("root") != F.col("main"), F.col("member"))).alias("outside")
+        F.first("main").alias("main"), F.collect_list("member").alias("every")
     )
     per_block = cut(per_block)
-    left = per_block.where(F.size("outside") > 0).select("bucket", "outside", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    pairs = left.join(per_block.select("bucket", "block", "every"), ["bucket", "block"]).select("outside", "every")
+
+    def side(column: pa.Array) -> list[dict]:
+        found, sizes = column.field("found"), column.field("size").to_pylist()
+        # hashes that two sets share are equal bit by bit, whatever their sign
+        return [
+            {"v": v, "root": r, "size": n, "found": np.sort(f.values.to_numpy())}
+            for v, r, n, f in zip(column.field("v").to_pylist(), column.field("root").to_pylist(), sizes, found, strict=True)
+        ]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                sides = []
-                for name in ("outside", "every"):
-                    column = batch.column(name)[at].values
-                    found, sizes = column.field("found"), column.field("size").to_pylist()
-                    # hashes that two sets share are equal bit by bit, whatever their sign
-                    sides.append(
-                        [
-                            {"v": v, "root": r, "size": n, "found": np.sort(f.values.to_numpy())}
-                            for v, r, n, f in zip(column.field("v").to_pylist(), column.field("root").to_pylist(), sizes, found, strict=True)
-                        ]
-                    )
-                edges = _links_between(*sides, cfg)
+                every = side(batch.column("every")[at].values)
+                if "outside" in batch.schema.names:
+                    outside = side(batch.column("outside")[at].values)
+                else:
+                    main = batch.column("main")[at].as_py()
+                    outside = [m for m in every if m["root"] != main]
+                edges = _links_between(outside, every, cfg)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"]
                 )
 
-    return cut(pairs.repartition(max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "a bigint, b bigint"))
+    whole = per_block.where("n_blocks = 1").select("main", "every").mapInArrow(run, "a bigint, b bigint")
+    parts = per_block.where("n_blocks > 1")
+    left = parts.select("bucket", "n_blocks", F.filter("every", lambda m: m["root"] != F.col("main")).alias("outside"))
+    left = left.where(F.size("outside") > 0).select("bucket", "outside", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    pairs = left.join(parts.select("bucket", "block", "every"), ["bucket", "block"]).select("outside", "every")
+    spread = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(whole.unionByName(pairs.repartition(spread).mapInArrow(run, "a bigint, b bigint")))
 
 
 def _result(signed: DataFrame, vertices: DataFrame, components: DataFrame | None) -> DataFrame:
