@@ -405,7 +405,15 @@ def without_job_passages(
     job_id: str = "job_id",
     jd_text: str = "jd_text",
 ) -> DataFrame:
-    """The rows of ``candidates`` that share no passage with a job text, all columns as they were."""
-    found = job_passages(candidates, jobs, cfg, candidate_id, text, job_id, jd_text)
-    gone = found.select(F.col("candidate_id").alias("gone_id")).distinct()
-    return candidates.join(gone, candidates[candidate_id].eqNullSafe(gone["gone_id"]), "left_anti")
+    """The rows of ``candidates`` whose text shares no passage with a job text, all columns as they were.
+
+    Each row is judged by its own text: of rows that repeat an id or have none, only those
+    with a passage go. Rows with a null or empty text stay, rows that repeat both id and
+    text go or stay together, and an empty table on either side leaves all rows as they are.
+    """
+    picked = pick(candidates, candidate_id=candidate_id, text=text)
+    by_row = picked.select(F.struct("candidate_id", F.sha2("text", 256).alias("digest")).alias("row"), "text")
+    found = job_passages(by_row, jobs, cfg, "row", "text", job_id, jd_text)
+    gone = found.select(F.col("candidate_id.candidate_id").alias("gone_id"), F.col("candidate_id.digest").alias("gone_text")).distinct()
+    same = candidates[candidate_id].eqNullSafe(gone["gone_id"]) & (F.sha2(candidates[text], 256) == gone["gone_text"])
+    return candidates.join(gone, same, "left_anti")

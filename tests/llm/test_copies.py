@@ -58,6 +58,25 @@ def brute_texts(rows, n, percent):
     return {(i, len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
 
+def test_links_between_members_that_the_hub_lacks(spark):
+    """Bands of one component put unlinked texts into shared buckets, blocks of few shingles split these."""
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(40)]
+    rows = []
+    for group in range(8):
+        own = [f"g{group}w{i}" for i in range(30 + 8 * group)]
+        for _ in range(3):
+            copy = shared + own
+            copy[rng.randrange(len(copy))] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(copy)))
+    table = spark.createDataFrame(rows, "candidate_id long, text string")
+    want = brute_texts(rows, 4, 80)
+    assert 8 <= sum(kept for *_, kept in want) < len(rows)
+    for block in (150, 250_000):
+        cfg = near_dedup.NearDedupConfig(words=4, bands=24, band_rows=1, block_shingles=block)
+        assert {tuple(r) for r in near_dedup.near_duplicates(table, cfg).collect()} == want
+
+
 @pytest.mark.parametrize("n", [4, 5])
 def test_near_duplicates(spark, n):
     rng = random.Random(n)

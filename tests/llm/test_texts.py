@@ -260,7 +260,7 @@ def test_passages_of_jobs(spark):
     assert sorted((r.candidate_id or 0, r.job_id, r.edits) for r in got) == [(0, 1, 0), (1, 1, 0), (5, 1, 0), (5, 2, 0)] or sorted(
         (r.candidate_id or 0, r.job_id) for r in got
     ) == [(0, 1), (1, 1), (5, 1), (5, 2)]
-    assert sorted(r.candidate_id for r in decontaminate.without_job_passages(texts, jobs).collect()) == [2, 3, 4]
+    assert sorted(r.candidate_id for r in decontaminate.without_job_passages(texts, jobs).collect()) == [1, 2, 3, 4]
     small = decontaminate.DecontaminationConfig(block=1)
     key = lambda rs: sorted((r.candidate_id or 0, r.job_id, r.n_windows) for r in rs)
     assert key(decontaminate.job_passages(texts, jobs, small).collect()) == key(got)
@@ -268,6 +268,19 @@ def test_passages_of_jobs(spark):
     assert decontaminate.job_passages(texts.where("false"), jobs).count() == 0
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    passage = "a senior engineer who builds ranking systems for retrieval and search at scale every day of the week"
+    rows = [(None, passage, 1), (None, "clean text without an id", 2), (7, passage, 3), (7, "clean text of the same id", 4)]
+    rows += [(8, None, 5), (8, "", 6), (9, passage, 7), (9, passage, 8)]
+    texts = spark.createDataFrame(rows, "candidate_id long, text string, gone_id long")
+    jobs = spark.createDataFrame([(1, passage)], "job_id long, jd_text string")
+    kept = decontaminate.without_job_passages(texts, jobs)
+    assert kept.columns == texts.columns
+    assert sorted(r.gone_id for r in kept.collect()) == [2, 4, 5, 6]
+    assert decontaminate.without_job_passages(texts, jobs.where("false")).count() == len(rows)
+    assert decontaminate.without_job_passages(texts.where("false"), jobs).count() == 0
+
+
 def test_passages_at_any_offset_and_short_texts():
     rng = random.Random(7)
     cfg = decontaminate.DecontaminationConfig()
