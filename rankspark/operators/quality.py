@@ -2,10 +2,15 @@
 
 Input: ``job_id, row_no`` (position in the file), ``candidate_id, rank, score,
 reasoning``; rank and score may be text as read from a file.
+
+A check that a row and the rows of its job before it decide is a :class:`RowCheck`. Such a
+check can run alone, but ``row_errors`` runs any number of them in one pass over the rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,48 +61,118 @@ def row_count(ranked: DataFrame, jobs: DataFrame, cfg: RankConfig) -> DataFrame:
     return _errors(wrong, "row_count", F.concat(F.lit("rows "), F.col("n_rows").cast("string")))
 
 
+@dataclass(frozen=True)
+class RowCheck:
+    """``fails`` marks the rows with the fault ``detail``; ``history`` names what both need of the rows before."""
+
+    name: str
+    fails: Column
+    detail: Column
+    history: tuple[str, ...] = ()
+
+
+def _with_history(ranked: DataFrame, needed: set[str]) -> DataFrame:
+    """``before``: the last readable score before a row; ``use_no``: how often its id has come within the job.
+
+    Both need the rows of a job in order. The first deals rows out by job, which holds for
+    the second as well, so the rows move once.
+    """
+    if "before" in needed:
+        earlier = Window.partitionBy("job_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.withColumn("before", F.last(_score(), ignorenulls=True).over(earlier))
+    if "use_no" in needed:
+        of_id = Window.partitionBy("job_id", "candidate_id").orderBy("row_no")
+        ranked = ranked.withColumn("use_no", F.row_number().over(of_id))
+    return ranked
+
+
+def row_errors(ranked: DataFrame, checks: list[RowCheck]) -> DataFrame:
+    """The errors of all ``checks``, found in one pass; a row gives one error per check that it fails."""
+    rows = _with_history(ranked, {h for c in checks for h in c.history})
+    faults = [F.when(c.fails, F.struct(F.lit(c.name).alias("check"), c.detail.alias("detail"))) for c in checks]
+    found = F.explode(F.array_compact(F.array(*faults))).alias("fault")
+    rows = rows.select("job_id", "row_no", "candidate_id", found)
+    return rows.select(
+        F.col("fault.check").alias("check"),
+        F.col("job_id").cast("bigint").alias("job_id"),
+        F.col("row_no").cast("bigint").alias("row_no"),
+        "candidate_id",
+        F.col("fault.detail").alias("detail"),
+    )
+
+
+def _four_fields() -> RowCheck:
+    return RowCheck("columns", F.col("_corrupt").isNotNull(), F.lit("not four fields"))
+
+
+def _one_row_per_id() -> RowCheck:
+    empty = F.coalesce("candidate_id", F.lit("")) == ""
+    detail = F.when(empty, F.lit("empty id")).otherwise(F.lit("repeated id"))
+    return RowCheck("ids", empty | (F.col("use_no") > 1), detail, ("use_no",))
+
+
+def _rank_is_position() -> RowCheck:
+    shown = F.coalesce(F.col("rank").cast("string"), F.lit("missing"))
+    return RowCheck(
+        "contiguous", ~F.coalesce(_rank() == F.col("row_no"), F.lit(False)), F.concat(F.lit("rank "), shown)
+    )
+
+
+def _score_within_bounds() -> RowCheck:
+    ok = _score().between(-_SLACK, 1.0 + _SLACK) & ~F.isnan(_score())
+    return RowCheck("score_bounds", ~F.coalesce(ok, F.lit(False)), F.lit("score not in [0, 1]"))
+
+
+def _score_not_rising() -> RowCheck:
+    rising = _score() > F.col("before") + _SLACK
+    return RowCheck("monotonic", rising, F.lit("score above the one before"), ("before",))
+
+
+def _has_reasoning() -> RowCheck:
+    blank = text.strip(F.coalesce("reasoning", F.lit(""))) == ""
+    return RowCheck("reasoning_present", blank, F.lit("no reasoning"))
+
+
 def columns(raw: DataFrame) -> DataFrame:
     """Rows of a raw file that do not have four fields."""
-    return _errors(raw.where(F.col("_corrupt").isNotNull()), "columns", F.lit("not four fields"))
+    return row_errors(raw, [_four_fields()])
 
 
 def ids(ranked: DataFrame) -> DataFrame:
     """Empty ids, and every row of an id after its first within a job."""
-    w = Window.partitionBy("job_id", "candidate_id").orderBy("row_no")
-    empty = F.coalesce("candidate_id", F.lit("")) == ""
-    rows = ranked.withColumn("use_no", F.row_number().over(w))
-    return _errors(
-        rows.where(empty | (F.col("use_no") > 1)),
-        "ids",
-        F.when(F.coalesce("candidate_id", F.lit("")) == "", F.lit("empty id")).otherwise(F.lit("repeated id")),
-    )
+    return row_errors(ranked, [_one_row_per_id()])
 
 
 def contiguous(ranked: DataFrame) -> DataFrame:
     """Ranks that are not a whole number or differ from the position."""
-    return _errors(
-        ranked.where(~F.coalesce(_rank() == F.col("row_no"), F.lit(False))),
-        "contiguous",
-        F.concat(F.lit("rank "), F.coalesce(F.col("rank").cast("string"), F.lit("missing"))),
-    )
+    return row_errors(ranked, [_rank_is_position()])
 
 
 def score_bounds(ranked: DataFrame) -> DataFrame:
     """Scores that are not a number between 0 and 1."""
-    ok = _score().between(-_SLACK, 1.0 + _SLACK) & ~F.isnan(_score())
-    return _errors(ranked.where(~F.coalesce(ok, F.lit(False))), "score_bounds", F.lit("score not in [0, 1]"))
+    return row_errors(ranked, [_score_within_bounds()])
 
 
 def monotonic(ranked: DataFrame) -> DataFrame:
     """Scores above the last readable score before them."""
-    w = Window.partitionBy("job_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranked.withColumn("before", F.last(_score(), ignorenulls=True).over(w))
-    return _errors(rows.where(_score() > F.col("before") + _SLACK), "monotonic", F.lit("score above the one before"))
+    return row_errors(ranked, [_score_not_rising()])
 
 
 def reasoning_present(ranked: DataFrame) -> DataFrame:
-    blank = text.strip(F.coalesce("reasoning", F.lit(""))) == ""
-    return _errors(ranked.where(blank), "reasoning_present", F.lit("no reasoning"))
+    """Rows whose reasoning is missing or blank."""
+    return row_errors(ranked, [_has_reasoning()])
+
+
+def row_checks(ranked: DataFrame) -> list[RowCheck]:
+    """All checks that rows decide among themselves; those on fields only for rows as read from a file."""
+    return [
+        *([_four_fields()] if "_corrupt" in ranked.columns else []),
+        _one_row_per_id(),
+        _rank_is_position(),
+        _score_within_bounds(),
+        _score_not_rising(),
+        _has_reasoning(),
+    ]
 
 
 def known_ids(ranked: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -185,18 +260,18 @@ def report(
 
     Rows as read from a file bring ``_corrupt`` and are checked for their fields; rows that
     still have their ``named_skills`` are checked for these.
+
+    The ranked rows, N per job, are stored first, and so are the known ones of their ids: what
+    made the rows runs once, records are read once, and every part below starts from small tables.
     """
+    ranked = cut(ranked)
+    known = cut(known_ids(ranked, candidates))
     parts = [
-        *([columns(ranked)] if "_corrupt" in ranked.columns else []),
         *([named_skills(ranked, skills)] if "named_skills" in ranked.columns else []),
         row_count(ranked, jobs, cfg),
-        ids(ranked),
-        contiguous(ranked),
-        score_bounds(ranked),
-        monotonic(ranked),
-        reasoning_present(ranked),
-        existence(ranked, candidates),
-        grounded(ranked, candidates, facts, skills),
+        row_errors(ranked, row_checks(ranked)),
+        existence(ranked, known),
+        grounded(ranked, known, facts, skills),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -215,7 +290,7 @@ def validate_file(
 ) -> DataFrame:
     """All errors of one ranked CSV file of a job: header, fields and every check on its rows."""
     message = header(ranked_csv.header_of(spark, path), fixed.OUTPUT_COLUMNS)
-    rows = cut(ranked_csv.read_raw(spark, path).withColumn("job_id", F.lit(job_id).cast("bigint")))
+    rows = ranked_csv.read_raw(spark, path).withColumn("job_id", F.lit(job_id).cast("bigint"))
     jobs = spark.createDataFrame([(job_id,)], "job_id bigint")
     errors = report(rows, jobs, candidates, facts, skills, cfg)
     if message is None:
