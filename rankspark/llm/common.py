@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.session import cut
+from rankspark.session import cut, setting
 
 
 class MissingColumn(ValueError):
@@ -170,6 +170,20 @@ def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
+def first_rows(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """The first ``most`` rows of each group by a hash of ``candidate_id``; rows of one id by their text. Stored.
+
+    Every task keeps at most ``most`` rows of a group before any are shuffled, so a group or
+    an id that holds most of the rows does not gather in one task.
+    """
+    keys = [F.xxhash64("candidate_id"), F.col("candidate_id")]
+    if "text" in rows.columns:
+        keys += [F.xxhash64("text"), F.col("text")]
+    order = Window.partitionBy(group).orderBy(*keys)
+    with setting(rows.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold", str(max(1000, most))):
+        return cut(rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth"))
+
+
 def crc_remainder(id_column: Column, parts: int) -> Column:
     """``crc32`` of the id written as text, modulo ``parts``; null for a null id."""
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(parts))

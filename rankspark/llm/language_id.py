@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rankspark.llm.common import crc_remainder, pick, slices
+from rankspark.llm.common import crc_remainder, first_rows, pick, slices
 from rankspark.session import cut
 
 UNDETERMINED = "und"
@@ -95,12 +94,14 @@ def cluster(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def _sample(labelled: DataFrame, cfg: LanguageConfig) -> DataFrame:
-    """Up to ``texts_per_language`` rows of each language, chosen by a hash of the id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("candidate_id"), "candidate_id")
+    """Up to ``texts_per_language`` rows of each language, chosen by a hash of the id.
+
+    Ids are chosen without their texts; the bound is then held on rows, as an id may have many.
+    """
     ids = labelled.where("candidate_id is not null and lang is not null and text is not null").select("candidate_id", "lang")
-    chosen = ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cfg.texts_per_language)
-    chosen = cut(chosen.select(F.col("candidate_id").alias("chosen_id")))
-    return labelled.join(chosen, F.col("candidate_id") == F.col("chosen_id"), "left_semi").where("lang is not null and text is not null")
+    chosen = first_rows(ids, "lang", cfg.texts_per_language).select(F.col("candidate_id").alias("chosen_id"))
+    rows = labelled.join(chosen, F.col("candidate_id") == F.col("chosen_id"), "left_semi").where("lang is not null and text is not null")
+    return first_rows(rows, "lang", cfg.texts_per_language)
 
 
 def fit(
@@ -110,7 +111,10 @@ def fit(
     text: str = "text",
     lang: str = "lang",
 ) -> LanguageModel:
-    """Learn from labelled candidate texts. Rows without a text, with a text without letters or without a label teach nothing."""
+    """Learn from labelled candidate texts. Rows without an id, a text, a letter or a label teach nothing.
+
+    Of rows that repeat an id each counts for the bound on rows per language, and teaches within it.
+    """
     rows = _sample(pick(labelled, candidate_id=candidate_id, text=text, lang=lang), cfg)
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

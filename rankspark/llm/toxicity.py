@@ -18,9 +18,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rankspark.llm.common import Memo, pick, slices
+from rankspark.llm.common import Memo, first_rows, pick, slices
 from rankspark.session import cut
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -145,7 +144,7 @@ def fit(
     Per label up to ``texts_per_label`` texts, by a hash of their ids, among those of at
     most ``train_bytes`` bytes. Rows without an id, a text or a label teach nothing; an id
     labelled more than once counts as toxic if one of its labels does; an id with several
-    texts teaches with each. With labels of one kind only, all texts get that kind.
+    texts teaches with each within the bound. With labels of one kind only, all texts get that kind.
     """
     known = (
         pick(labels, candidate_id=candidate_id, toxic=toxic)
@@ -156,10 +155,10 @@ def fit(
     texts = pick(candidates, candidate_id=candidate_id, text=text).where("text is not null")
     short = texts.where(F.octet_length("text") <= cfg.train_bytes)
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("candidate_id"), "candidate_id")
     present = known.join(short.select("candidate_id").distinct(), "candidate_id", "left_semi")
-    chosen = cut(present.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cfg.texts_per_label).drop("nth"))
-    sample = cut(short.join(chosen, "candidate_id").select("candidate_id", "toxic", "text"))
+    chosen = first_rows(present, "toxic", cfg.texts_per_label)
+    # an id may have many texts, so the bound is held on rows as well
+    sample = first_rows(short.join(chosen, "candidate_id").select("candidate_id", "toxic", "text"), "toxic", cfg.texts_per_label)
     n_texts = {0: 0, 1: 0} | {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n_texts[0] or not n_texts[1]:
         return ToxicityModel(cfg, {}, 30.0 if n_texts[1] else -30.0)

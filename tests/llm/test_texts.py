@@ -333,3 +333,22 @@ def test_wrong_end_tags_take_no_time(html):
     t0 = time.process_time()
     html_extract.main_text(f"<body><article>{_BODY}</article>{html}</body>")
     assert time.process_time() - t0 < 3
+
+
+def test_samples_keep_their_bound_where_an_id_has_many_rows(spark):
+    from rankspark.llm.common import first_rows
+
+    hot = spark.range(1200).selectExpr("7L candidate_id", "concat('some words of text ', id) text", "'en' lang")
+    others = spark.range(100, 160).selectExpr("id candidate_id", "concat('des mots de texte ', id) text", "'fr' lang")
+    cfg = language_id.LanguageConfig(texts_per_language=20)
+    sample = language_id._sample(hot.unionByName(others), cfg)
+    assert {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()} == {"en": 20, "fr": 20}
+    wanted = others.orderBy(F.xxhash64("candidate_id"), "candidate_id").limit(20)
+    assert {r.candidate_id for r in sample.where("lang = 'fr'").collect()} == {r.candidate_id for r in wanted.collect()}
+    again = language_id._sample(others.unionByName(hot).repartition(7), cfg)
+    assert sample.exceptAll(again).isEmpty() and again.exceptAll(sample).isEmpty()
+    # a bound above Spark's own threshold is cut before the shuffle too, and the setting is as before
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    many = spark.range(4000).selectExpr("id candidate_id", "1 toxic")
+    assert first_rows(many, "toxic", 3000).count() == 3000 and spark.conf.get(name) == before
